@@ -46,6 +46,11 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the source; null is a source like any other."""
+    return left.join(right.withColumnRenamed("s", "right_s"), F.col("s").eqNullSafe(F.col("right_s")), how).drop("right_s")
+
+
 def plan_mix(docs: DataFrame, id_col: str, source: str, tokens: Column, weight: Column, targets: dict[str, float] | None, total: int | None, alpha: float, seed: int) -> DataFrame:
     """(source, epochs, key, id): whole epochs of each source, and the last document of the part epoch."""
     narrow = docs.select(
@@ -59,7 +64,7 @@ def plan_mix(docs: DataFrame, id_col: str, source: str, tokens: Column, weight:
     size = sums.groupBy("s").agg(F.sum("n").alias("t")).where("t > 0")
     if targets is not None:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "s string, w double")
-        size = size.join(given, size.s.eqNullSafe(given.s), "left").select(size.s, "t", F.coalesce("w", F.lit(0.0)).alias("w"))
+        size = _beside(size, given, "left").select("s", "t", F.coalesce("w", F.lit(0.0)).alias("w"))
     else:
         size = size.withColumn("w", F.pow(F.col("t").cast("double"), F.lit(alpha)))
     whole = size.agg(F.sum("w").alias("all_w"), F.sum("t").alias("all_t"))
@@ -68,16 +73,16 @@ def plan_mix(docs: DataFrame, id_col: str, source: str, tokens: Column, weight:
     size = size.select("s", "t", F.expr("budget div t").alias("epochs"), F.expr("budget % t").alias("rest"))
     up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     run = sums.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
-    run = run.join(size, run.s.eqNullSafe(size.s)).select(run.s, "b", "n", "before", "rest")
+    run = _beside(run, size).select("s", "b", "n", "before", "rest")
     edge = run.where("before <= rest and before + n > rest").select("s", "b", "before", "rest")
-    inside = narrow.join(edge, narrow.s.eqNullSafe(edge.s) & (narrow.b == edge.b)).select(narrow.s, "k", "i", "n", "before", "rest")
+    inside = _beside(narrow, edge.withColumnRenamed("b", "edge_b")).where("b = edge_b").select("s", "k", "i", "n", "before", "rest")
     peers = Window.partitionBy("s").orderBy("k", "i").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     taken = inside.withColumn("upto", F.col("before") + F.sum("n").over(peers)).where("upto <= rest")
     last = taken.groupBy("s").agg(F.max(F.struct("k", "i")).alias("last"))
     first = edge.select("s", F.col("b").alias("eb"))
-    size = size.join(first, size.s.eqNullSafe(first.s), "left").select(size.s, "epochs", "eb")
-    size = size.join(last, size.s.eqNullSafe(last.s), "left")
-    return size.select(size.s.alias("__s"), "epochs", F.col("eb").alias("__eb"), F.col("last.k").alias("__k"), F.col("last.i").alias("__i"))
+    size = _beside(size.select("s", "epochs"), first, "left")
+    size = _beside(size, last, "left")
+    return size.select(F.col("s").alias("__s"), "epochs", F.col("eb").alias("__eb"), F.col("last.k").alias("__k"), F.col("last.i").alias("__i"))
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source: str = "source", text: str = "text", tokens: Column | None = None, weight: Column | None = None) -> DataFrame:

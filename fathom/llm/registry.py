@@ -6,6 +6,9 @@ from importlib import import_module
 
 OPERATORS = [
     "preferences",
+    "toxicity",
+    "bpe",
+    "quality",
     "topk",
     "url_cascade",
     "exact_dedup",
