@@ -10,6 +10,8 @@ OPERATORS = [
     "bpe",
     "quality",
     "topk",
+    "simhash",
+    "suffix_array",
     "url_cascade",
     "exact_dedup",
     "mixing",
