@@ -120,7 +120,7 @@ decls AS (
   FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey JOIN types t ON t.decl_id = o_custkey * 8 + 1
   JOIN mv ON mv.i = o_orderkey % {len(MEMBERS)} AND mv.kind IN ('Method', 'Function') JOIN pv ON pv.i = (l_orderkey + l_linenumber) % {len(PARAMS)}),
 refs AS (
-  SELECT l_orderkey * 8 + 2 AS src, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey * 8 + 1 WHEN l_linenumber % 3 = 1 THEN l_partkey * 32 + 2 ELSE (l_orderkey * 8 + 1 + l_partkey % 6) * 8 + 3 END AS dst,
+  SELECT l_orderkey * 8 + 2 AS src, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey * 8 + 1 WHEN l_linenumber % 3 = 1 THEN l_partkey * 32 + 2 ELSE (l_orderkey * 8 + 1 + l_partkey % 6) * 8 + 3 END AS dst,
     kv.kind, l_linestatus = 'F' AS ambiguous
   FROM lineitem JOIN kv ON kv.i = l_linenumber % {len(KINDS)} WHERE l_quantity >= {QUANTITY}),
 edges AS (SELECT refs.* FROM refs JOIN decls ON decls.decl_id = dst WHERE src <> dst),
@@ -189,7 +189,7 @@ def project(spark: SparkSession, sf_dir: str) -> Code:
     decls = types.select(cols).unionByName(members.withColumn("fqn", fqn).select(cols)).unionByName(params.withColumn("fqn", fqn).select(cols))
     n = F.col("l_linenumber")
     dst = (
-        F.when(n % 3 == 0, F.col("l_suppkey") * 8 + 1)
+        F.when(n % 3 == 0, F.col("l_partkey") * 8 + 1)
         .when(n % 3 == 1, F.col("l_partkey") * 32 + 2)
         .otherwise((F.col("l_orderkey") * 8 + 1 + F.col("l_partkey") % 6) * 8 + 3)
     )
