@@ -218,3 +218,30 @@ SQL = """
 WITH p AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') AS host FROM pages)
 SELECT page_id, url, host, host IS NOT NULL AND host IN (SELECT host FROM p WHERE lower(url) LIKE 'http://%' AND host IS NOT NULL) AS listed FROM p
 """
+
+
+LIST_NAME = "op6_url_blocklist"
+#: Sites whose URLs are listed, under whatever prefix and domain, however many pages they have.
+BLOCKED = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+_BLOCKED = rf"(^|\.)({'|'.join(BLOCKED)})\."
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
+
+
+def url_key(url: Column) -> Column:
+    """Lower-case host and path of a URL, without slashes at its end; null where there is no host."""
+    return F.concat(host(url), F.regexp_replace(F.regexp_extract(url, _PATH, 1), "/+$", ""))
+
+
+def blocklist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with whether its URL is listed: URLs of blocked sites, out of all URLs."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = pages.withColumn("key", url_key(F.col("url")))
+    listed = pages.where(host(F.col("url")).rlike(_BLOCKED)).select("key")
+    return cascade_filter(spark, pages, F.col("key"), listed).withColumnRenamed("__listed", "listed")
+
+
+LIST_SQL = f"""
+WITH h AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') AS host FROM pages),
+p AS (SELECT page_id, url, host, host || regexp_replace(regexp_extract(url, '{_PATH}', 1), '/+$', '') AS key FROM h)
+SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM p WHERE regexp_matches(host, '{_BLOCKED}')) AS listed FROM p
+"""
