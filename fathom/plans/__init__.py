@@ -1,6 +1,7 @@
 """Registered queries: every operator on the driver tables, with its SQL."""
 
 from fathom.plans import findings, graph_queries, join_queries, rule_queries, text_queries  # noqa: F401
+from fathom.plans import whole  # noqa: F401  after all others
 from fathom.plans.registry import ORACLES, QUERIES, Query
 
 

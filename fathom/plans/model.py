@@ -2,12 +2,16 @@
 
 Customers are types, their orders are members, distinct (order, line number)
 pairs are parameters; a lineitem of a large quantity is a reference from its
-order.  Names come from small vocabularies, chosen by key.  The same projection
-is given as DataFrames and as SQL common table expressions.
+order, and inside ``every_reference`` any lineitem is.  Names come from small
+vocabularies, chosen by key.  The same projection is given as DataFrames and as
+SQL common table expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +136,21 @@ roots AS (
 """
 
 
+#: The same over all lineitems.
+WHOLE_SQL = SQL.replace(f" WHERE l_quantity >= {QUANTITY}", "")
+_every: ContextVar[bool] = ContextVar("every", default=False)
+
+
+@contextmanager
+def every_reference() -> Iterator[None]:
+    """What ``project`` gives in here has every lineitem as a reference."""
+    before = _every.set(True)
+    try:
+        yield
+    finally:
+        _every.reset(before)
+
+
 @dataclass
 class Code:
     """Declarations, references and roots."""
@@ -148,7 +167,11 @@ def _pick(rows: list, key: Column, col: int | None = None) -> Column:
 
 
 def project(spark: SparkSession, sf_dir: str) -> Code:
-    """The driver tables as code; no row is left out."""
+    """The driver tables as code: all types, members and parameters.
+
+    References are the lineitems of at least ``QUANTITY``, about a fifth of
+    them; inside ``every_reference`` they are all lineitems.
+    """
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     ext = F.when(key % 3 == 0, ".java").otherwise(".kt")
@@ -193,7 +216,8 @@ def project(spark: SparkSession, sf_dir: str) -> Code:
         .when(n % 3 == 1, F.col("l_partkey") * 32 + 2)
         .otherwise((F.col("l_orderkey") * 8 + 1 + F.col("l_partkey") % 6) * 8 + 3)
     )
-    refs = lines.where(F.col("l_quantity") >= QUANTITY).select((F.col("l_orderkey") * 8 + 2).alias("src"), dst.alias("dst"), _pick(KINDS, n).alias("kind"), (F.col("l_linestatus") == "F").alias("ambiguous"))
+    kept = lines if _every.get() else lines.where(F.col("l_quantity") >= QUANTITY)
+    refs = kept.select((F.col("l_orderkey") * 8 + 2).alias("src"), dst.alias("dst"), _pick(KINDS, n).alias("kind"), (F.col("l_linestatus") == "F").alias("ambiguous"))
     edges = refs.where("src <> dst").join(decls.select(F.col("decl_id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind", "ambiguous")
     return Code(decls, edges, find_roots(decls))
 

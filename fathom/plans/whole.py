@@ -1,0 +1,26 @@
+"""Every query over references once more, as NAME_whole, with all lineitems as references."""
+
+from __future__ import annotations
+
+from fathom.plans.model import SQL, WHOLE_SQL, every_reference
+from fathom.plans.registry import ORACLES, QUERIES, Query, query
+
+#: Queries of the projection that look at no reference.
+WITHOUT = {"root_reasons", "with_members", "ancestors", "nesting_depth", "rule_ap002", "rule_ap003"}
+#: Queries over references that SQL can't express.
+NO_SQL = ["cluster_sizes"]
+
+
+def _whole(run: Query) -> Query:
+    def over_all(spark, sf_dir):
+        with every_reference():
+            return run(spark, sf_dir)
+
+    return over_all
+
+
+for _name, _sql in list(ORACLES.items()):
+    if SQL in _sql and _name not in WITHOUT:
+        query(f"{_name}_whole", _sql.replace(SQL, WHOLE_SQL))(_whole(QUERIES[_name]))
+for _name in NO_SQL:
+    query(f"{_name}_whole")(_whole(QUERIES[_name]))

@@ -1,0 +1,43 @@
+"""Queries over every lineitem as a reference, against their SQL."""
+
+import __spark_entry__ as entry
+import duckdb
+import pytest
+
+from fathom.plans.model import every_reference, project
+
+AT = "/root/testdata/sf0.001"
+
+
+def tables():
+    db = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{AT}/{t}.parquet'")
+    return db
+
+
+def test_every_lineitem_with_a_declared_target_is_an_edge(spark):
+    db = tables()
+    with every_reference():
+        code = project(spark, AT)
+    ids = {r[0] for r in code.decls.select("decl_id").collect()}
+    expect = []
+    for o, n, p in db.execute("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem").fetchall():
+        dst = [p * 8 + 1, p * 32 + 2, (o * 8 + 1 + p % 6) * 8 + 3][n % 3]
+        if dst in ids and dst != o * 8 + 2:
+            expect.append((o * 8 + 2, dst))
+    assert sorted(tuple(r) for r in code.edges.select("src", "dst").collect()) == sorted(expect)
+    assert project(spark, AT).edges.count() < len(expect) / 3
+
+
+@pytest.mark.parametrize("name", ["unreferenced_decls_whole", "reach_whole", "clusters_whole", "rule_dc001_whole"])
+def test_whole_queries_give_their_sql(spark, name):
+    got = entry.queries()[name](spark, AT)
+    expect = tables().execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expect))
+
+
+def test_every_query_over_references_has_its_whole():
+    have = entry.queries()
+    for name in ["reach", "reach_deep", "unreachable_decls", "unreferenced_decls", "kill_list", "clusters", "cluster_sizes", "why_alive", "all_rules", "rule_ap034", "summary", "health"]:
+        assert f"{name}_whole" in have
