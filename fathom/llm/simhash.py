@@ -1,17 +1,13 @@
-"""SimHash near-deduplication over an index of deletion variants.
+"""SimHash near-deduplication over an index of signature blocks.
 
 The signature of a text is the sign of a weighted sum of random directions, one
 for each of its distinct words (weight 1 + ln of how often it occurs).  Two
-texts are near if their signatures differ in at most ``MAX_BITS`` of ``SEGMENTS``
-times 32 bits.  A signature is cut into 32-bit segments, fewer than one would
-cut to have one segment agree in full: of two near signatures some segment need
-only differ by at most one bit.  Each segment is indexed by its variants with one
-bit as a wildcard; equal variants are candidates, and candidates are verified on
-whole signatures.
-
-A segment's 32 variants aren't shipped.  A wildcard is in the upper or in the
-lower half, so a segment travels twice, to the place of its intact lower and of
-its intact upper half, and its 16 variants in the other half are made there.
+texts are near if their signatures differ in at most ``MAX_BITS`` of ``BITS``
+bits.  A signature is cut into ``BLOCKS`` blocks and travels to the place of each
+of them, a block's number and its bits.  Those that meet at a place, as they
+agree in a whole block, are candidates, and candidates are verified on whole
+signatures there.  Blocks are so short that of ``MAX_BITS`` bits that differ at
+random some block has none with probability 0.94.
 """
 
 from __future__ import annotations
@@ -29,9 +25,10 @@ from fathom.operators.components import connected_components
 
 NAME = "op5_simhash_near_dedup"
 U = np.uint64
-#: 32-bit segments in a signature.
-SEGMENTS = 16
-BITS = 32 * SEGMENTS
+BITS = 512
+#: Blocks in a signature, and the bits of one; the last two bits of a signature are in none.
+BLOCKS = 34
+WIDTH = BITS // BLOCKS
 #: Signatures of near texts differ in at most this many of the 512 bits: an angle of 28 degrees.
 MAX_BITS = 80
 
@@ -39,7 +36,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SALTS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, BITS // 64, dtype=np.uint64) * U(2) + U(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
-#: Up to so many nodes with one variant are compared each with each.
+#: Up to so many nodes of one place are compared each with each.
 FEW = 24
 #: Texts whose sums are made at once.
 GROUP = 64
@@ -89,22 +86,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A signature to two rows a segment: (place, other half, node, signature).
-
-    The place holds the segment's number, which half is intact, and that half.
-    """
+    """A signature to a row a block: (place, node, signature)."""
+    weight = 1 << np.arange(WIDTH, dtype=np.int32)
     for b in batches:
         for z in range(0, b.num_rows, 2000):
             part = b.slice(z, 2000)
             sig = _matrix(part.column("sig"))
-            seg = sig.view("<u4").astype(np.int64)
-            s = np.arange(SEGMENTS)[None, :]
-            low, high = seg & 0xFFFF, seg >> 16
-            place = np.stack([((s * 2) << 16) | low, ((s * 2 + 1) << 16) | high], 2).ravel()
-            rest = np.stack([high, low], 2).ravel()
-            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), 2 * SEGMENTS)
-            arrays = [pa.array(place.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(node), _fixed(np.repeat(sig, 2 * SEGMENTS, 0))]
-            yield pa.RecordBatch.from_arrays(arrays, ["place", "rest", "node", "sig"])
+            bits = np.unpackbits(sig, axis=1)[:, : BLOCKS * WIDTH].reshape(-1, BLOCKS, WIDTH)
+            place = (np.arange(BLOCKS, dtype=np.int32) << WIDTH) | (bits @ weight)
+            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), BLOCKS)
+            arrays = [pa.array(place.ravel()), pa.array(node), _fixed(np.repeat(sig, BLOCKS, 0))]
+            yield pa.RecordBatch.from_arrays(arrays, ["place", "node", "sig"])
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -129,38 +121,29 @@ def _forest(sig: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left or [rest]), np.concatenate(right or [rest])
 
 
-def _edges(place: np.ndarray, rest: np.ndarray, node: np.ndarray, sig: np.ndarray, max_bits: int) -> np.ndarray:
-    """Edges among nodes that share a place and whose other halves differ by at most one bit.
+def _edges(place: np.ndarray, node: np.ndarray, sig: np.ndarray, max_bits: int) -> np.ndarray:
+    """Edges among nodes that share a place; rows sorted by place.
 
-    Of few nodes with one variant all pairs are verified; of many, as many as
-    it takes to connect all that is connected.
+    Of few nodes at one place all pairs are verified; of many, as many as it
+    takes to connect all that is connected.
     """
     found = []
-    wide = (place.astype(np.int64) << 16) | rest
-
-    def join(key: np.ndarray) -> None:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-        size = np.diff(cut)
-        for n in np.unique(size[size > 1]):
-            begin = cut[:-1][size == n]
-            if n > FEW:
-                for at in begin:
-                    own = order[at : at + n]
-                    a, b = _forest(sig[own], max_bits)
-                    found.append(np.stack([node[own[a]], node[own[b]]], 1))
-                continue
-            a, b = np.triu_indices(n, 1)
-            step = max(1, 100_000 // len(a))
-            for z in range(0, len(begin), step):
-                at = begin[z : z + step, None]
-                x, y = order[(at + a).ravel()], order[(at + b).ravel()]
-                near = apart(sig[x], sig[y]) <= max_bits
-                found.append(np.stack([node[x[near]], node[y[near]]], 1))
-
-    for bit in range(16):
-        join(wide & ~(1 << bit))
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+    size = np.diff(cut)
+    for n in np.unique(size[size > 1]):
+        begin = cut[:-1][size == n]
+        if n > FEW:
+            for at in begin:
+                a, b = _forest(sig[at : at + n], max_bits)
+                found.append(np.stack([node[at + a], node[at + b]], 1))
+            continue
+        a, b = np.triu_indices(n, 1)
+        step = max(1, 100_000 // len(a))
+        for z in range(0, len(begin), step):
+            at = begin[z : z + step, None]
+            x, y = (at + a).ravel(), (at + b).ravel()
+            near = apart(sig[x], sig[y]) <= max_bits
+            found.append(np.stack([node[x[near]], node[y[near]]], 1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     return np.unique(np.sort(pairs, 1), axis=0)
 
@@ -168,15 +151,15 @@ def _edges(place: np.ndarray, rest: np.ndarray, node: np.ndarray, sig: np.ndarra
 def _linked(max_bits: int):
     """Rows sorted by place to edges, some hundred thousand rows of whole places at a time."""
 
-    def emit(place: np.ndarray, rest: np.ndarray, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        e = _edges(place, rest, node, sig, max_bits)
+    def emit(place: np.ndarray, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        e = _edges(place, node, sig, max_bits)
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("place", "rest", "node")] + [_matrix(b.column("sig")).view(np.uint64)]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("place", "node")] + [_matrix(b.column("sig")).view(np.uint64)]
             held.append(cols)
             rows += b.num_rows
             if rows >= 200_000 and cols[0][-1] != held[0][0][0]:
@@ -193,11 +176,11 @@ def _linked(max_bits: int):
 def near_edges(signed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b), a < b: edges among nodes of ``signed`` (node, sig; distinct signatures) that connect near ones.
 
-    All near pairs that differ in fewer than twice SEGMENTS bits are connected;
-    of those that differ in more, up to ``max_bits``, a pair is missed only if
-    none of its segments differs by one bit or less and nothing else links it.
+    All near pairs that differ in fewer than BLOCKS bits are connected; of those
+    that differ in more, up to ``max_bits``, a pair is missed only if each of its
+    blocks differs and nothing else links it.
     """
-    parts = signed.mapInArrow(_parts, "place int, rest int, node bigint, sig binary")
+    parts = signed.mapInArrow(_parts, "place int, node bigint, sig binary")
     return parts.repartition("place").sortWithinPartitions("place").mapInArrow(_linked(max_bits), "a bigint, b bigint").distinct()
 
 
