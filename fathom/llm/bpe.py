@@ -76,38 +76,34 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
 
-def _encode(path: str, verify: bool):
+def _encode(path: str):
     """The text in the first column to tokens, the other columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            texts, start, size, parts, same = b.column(0), 0, 0, [], []
+            texts, start, size, parts = b.column(0), 0, 0, []
             for i in range(b.num_rows):
                 text = texts[i].as_py()
                 if text is None:
                     parts.append(None)
-                    same.append(None)
                 else:
                     tokens = encode_piece(enc, text)
                     size += len(text)
                     parts.append(np.array(tokens, np.int32))
-                    if verify:
-                        same.append(enc.decode_bytes(tokens) == text.encode())
                 if size >= OUT_BYTES or i + 1 == b.num_rows:
-                    yield _out(b.slice(start, i + 1 - start), parts, same if verify else None)
-                    start, size, parts, same = i + 1, 0, [], []
+                    yield _out(b.slice(start, i + 1 - start), parts)
+                    start, size, parts = i + 1, 0, []
 
     return run
 
 
-def _out(rows: pa.RecordBatch, parts: list, same: list | None) -> pa.RecordBatch:
+def _out(rows: pa.RecordBatch, parts: list) -> pa.RecordBatch:
     lists = _lists([np.empty(0, np.int32) if p is None else p for p in parts])
     if any(p is None for p in parts):
         lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array([p is None for p in parts]))
-    arrays = [lists] + ([pa.array(same, pa.bool_())] if same is not None else []) + [rows.column(k) for k in range(1, rows.num_columns)]
-    names = ["tokens"] + (["round_trip"] if same is not None else []) + rows.schema.names[1:]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    arrays = [lists] + [rows.column(k) for k in range(1, rows.num_columns)]
+    return pa.RecordBatch.from_arrays(arrays, ["tokens", *rows.schema.names[1:]])
 
 
 def _seams(overlap: int):
@@ -158,8 +154,8 @@ def pieces(long: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataF
 def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, verify: bool = False) -> DataFrame:
     """``docs`` with its text replaced by ``tokens`` (array<int>), as the last column; all other columns are kept.
 
-    With ``verify`` a column ``round_trip`` follows: whether the tokens decode
-    to the text's bytes.  A null text has null tokens, an empty one none;
+    With ``verify`` a column ``round_trip`` follows: whether the row's final
+    tokens, decoded by ``decode``, are the bytes of the whole text.  A null text has null tokens, an empty one none;
     repeated rows are encoded each; an empty table gives an empty one.  The
     result equals encoding each text at once, for any ``chunk`` and ``overlap``.
     """
@@ -168,26 +164,28 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ch
     others = [k for k in range(len(names)) if k != t]
     raw = docs.toDF(*[f"c{k}" for k in range(len(names))])
     kinds = {f.name: f.dataType.simpleString() for f in raw.schema}
-    rest = ", ".join(f"c{k} {kinds[f'c{k}']}" for k in others)
-    extra = ", round_trip boolean" if verify else ""
+    carried = [*others, t] if verify else others
+    rest = "".join(f", c{k} {kinds[f'c{k}']}" for k in carried)
     is_long = F.length(f"c{t}") > chunk
-    short = raw.where(is_long.isNull() | ~is_long).select(F.col(f"c{t}").alias("text"), *[f"c{k}" for k in others])
-    out = short.mapInArrow(_encode(vocabulary, verify), f"tokens array<int>{extra}{', ' + rest if rest else ''}")
+    short = raw.where(is_long.isNull() | ~is_long).select(F.col(f"c{t}").alias("text"), *[f"c{k}" for k in carried])
+    out = short.mapInArrow(_encode(vocabulary), f"tokens array<int>{rest}")
     long = stash(raw.where(is_long).withColumn("row", F.monotonically_increasing_id()))
     cut = pieces(long.select("row", F.col(f"c{t}").alias("text")), chunk, overlap)
-    coded = cut.select("text", "row", "piece").repartition("row", "piece").mapInArrow(_encode(vocabulary, verify), f"tokens array<int>{extra}, row bigint, piece int")
+    coded = cut.select("text", "row", "piece").repartition("row", "piece").mapInArrow(_encode(vocabulary), "tokens array<int>, row bigint, piece int")
     whole = coded.groupBy("row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "tokens"))), lambda x: x["tokens"])).alias("tokens"),
-        *([F.bool_and("round_trip").alias("round_trip")] if verify else []),
     )
     whole = long.join(whole, "row").select(*out.columns)
-    tail = ["tokens"] + (["round_trip"] if verify else [])
     both = out.unionByName(whole)
+    tail = ["tokens"]
+    if verify:
+        both = decode(both, vocabulary=vocabulary, as_bytes=True).withColumn("round_trip", F.col("text") == F.col(f"c{t}").cast("binary"))
+        tail.append("round_trip")
     return both.select(*[F.col(f"c{k}").alias(names[k]) for k in others], *tail)
 
 
-def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``coded`` with a last column ``text``: the tokens' bytes joined and read as UTF-8.
+def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY, as_bytes: bool = False) -> DataFrame:
+    """``coded`` with a last column ``text``: the tokens' bytes joined and read as UTF-8, or left as they are with ``as_bytes``.
 
     Null tokens give null; bytes that are no UTF-8 (a token list cut inside a
     character) become replacement characters; an unknown or null token raises.
@@ -200,10 +198,12 @@ def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULAR
         enc = encoding(vocabulary)
         for b in batches:
             lists = b.column(at)
-            text = [None if x.as_py() is None else enc.decode_bytes(x.as_py()).decode("utf-8", "replace") for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "text"])
+            text = [None if x.as_py() is None else enc.decode_bytes(x.as_py()) for x in lists]
+            if not as_bytes:
+                text = [None if x is None else x.decode("utf-8", "replace") for x in text]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary() if as_bytes else pa.string())], [*b.schema.names, "text"])
 
-    schema = T.StructType([*raw.schema, T.StructField("text", T.StringType())])
+    schema = T.StructType([*raw.schema, T.StructField("text", T.BinaryType() if as_bytes else T.StringType())])
     return raw.mapInArrow(run, schema).toDF(*names, "text")
 
 
