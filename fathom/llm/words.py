@@ -2,8 +2,9 @@
 
 A text is cut at a set of one-byte separators; every other byte, so every byte
 of a character beyond ASCII, belongs to a word.  The hash of a byte range comes
-from one prefix sum of ``table[byte] * BASE**position``, so a slice of text
-costs a handful of array passes, whatever the number of its words.
+from one prefix sum of ``table[byte] * BASE**position`` modulo 2**64, so a slice
+of text costs a handful of array passes, whatever the number of its words.
+Texts made for it can collide; nothing that must be equal is decided by it.
 """
 
 from __future__ import annotations
@@ -100,10 +101,10 @@ class Words:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a string or binary column; a null is an empty text."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.empty(0, np.uint8)
