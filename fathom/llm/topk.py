@@ -1,6 +1,7 @@
 """Exact top-k search by histogram selection.
 
-Every vector of a table is a query against every other one.  Scores are fixed
+The query set, by default every vector of the table, is held in blocks against
+all vectors in blocks.  Scores are fixed
 point (cosine or dot product to nine decimals), so that equal vectors tie
 exactly.  A round scores all pairs block by block and adds up one histogram of
 scores a query; the bin that holds the kth score becomes the next round's
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.scratch import drop, stash
@@ -23,11 +24,15 @@ from fathom.functions.scratch import drop, stash
 NAME = "op2_exact_topk"
 SCALE = 1_000_000_000
 BINS = 64
-#: Vectors in a block of queries, and of data.
-BLOCK = 2048
+#: Vectors in a block of data, and of queries.
+BLOCK, ASKED = 2048, 512
 K = 10
-#: Parts that the data side of a round is cut into; a task meets one of them.
-DATA_PARTS = 4
+#: Tasks of a round for each core that the session has.
+WAVES = 3
+#: The registered query asks for the vectors whose id is a multiple of this.
+EVERY = 50
+#: A product of matrices of other shapes may round otherwise; what the last round keeps reaches so far below the edge.
+ROUNDING = 2
 NONE = -(1 << 62)
 STATE = "bid bigint, lo binary, hi binary, above binary, open binary, left bigint"
 
@@ -156,7 +161,7 @@ def _keep(k: int):
             for bid, _, rows, q, vectors, lo, _, ids, data in _blocks(b, False):
                 s = _scores(vectors, data)
                 s[q[:, None] == ids[None, :]] = NONE
-                r, c = np.nonzero(s >= lo[:, None])
+                r, c = np.nonzero((s >= lo[:, None] - ROUNDING) & (s > NONE))
                 found = [r, s[r, c], ids[c]]
                 if bid in best:
                     found = [np.concatenate(x) for x in zip(best[bid][1], found)]
@@ -170,62 +175,63 @@ def _keep(k: int):
     return run
 
 
-def exact_topk(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, metric: str = "cosine", slack: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, neighbor_id, score) of the k best other vectors for every vector.
+def exact_topk(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, metric: str = "cosine", slack: int | None = None, block: int = BLOCK, asked: Column | None = None, ask_block: int = ASKED) -> DataFrame:
+    """(query_id, rank, neighbor_id, score) of the k best other vectors for every vector that ``asked``, a condition on the table, holds for.
 
+    Without ``asked`` all vectors are queries; a null condition asks nothing.
     Rows with a null id, a null or empty vector or a null or non-finite element
     are neither asked nor found.  Vectors of another length than the query's
     are not its candidates.  A zero vector scores 0 against all under "cosine".
     A vector isn't its own neighbour, and neither is another row of its id; of
-    repeated rows of one id, the one with the greatest vector counts.  Ties rank
-    by ascending id.  A query with fewer than k others gets all of them.
-    Further columns are ignored; an empty table gives no rows.
+    repeated rows of one id, the one with the greatest vector counts, and it is
+    a query if any of them is.  Ties rank by ascending id.  A query with fewer
+    than k others gets all of them.  Ids must be integers, or strings of
+    integers.  Further columns are ignored; an empty table gives no rows.
 
-    Work is the n * n scores of each round; what is shuffled is the histograms,
-    n * tasks * 65 counts, and at the end k rows a query and task.
+    Work is the queries * n scores of each round; what is shuffled is the
+    histograms, queries * tasks * 65 counts, and at the end k rows a query and task.
     """
     slack = 4 * k if slack is None else slack
-    v = vectors.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("x"))
+    want = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    v = vectors.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("x"), want.alias("want"))
     v = v.where("i is not null and size(x) > 0 and not exists(x, e -> e is null or isnan(e) or abs(e) > 1.7976931348623157E308D)")
-    v = v.groupBy("i").agg(F.max("x").alias("x"))
+    v = v.groupBy("i").agg(F.max("x").alias("x"), F.bool_or("want").alias("want"))
     unit = metric == "cosine"
-    n, longest, dims = v.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)), F.count_distinct(F.size("x"))).first()
+    n, n_asked, longest, dims = v.agg(F.count(F.lit(1)), F.coalesce(F.count_if("want"), F.lit(0)), F.max(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)), F.count_distinct(F.size("x"))).first()
     schema = "query_id bigint, rank int, neighbor_id bigint, score double"
-    if not n:
+    if not n_asked:
         return spark.createDataFrame([], schema)
-    count = -(-n // block)
-    spread = v.repartition(count, "i").sortWithinPartitions(F.size("x"), "i") if dims > 1 else v.repartition(count, "i")
-    blocks = spread.mapInArrow(lambda b: _pack(b, block, unit), "ids binary, m binary, dim int")
-    blocks = stash(blocks.select(F.xxhash64("ids").alias("bid"), "*"))
+
+    def packed(rows: DataFrame, size: int, count: int) -> DataFrame:
+        spread = rows.repartition(count, "i").sortWithinPartitions(F.size("x"), "i") if dims > 1 else rows.repartition(count, "i")
+        return spread.select("i", "x").mapInArrow(lambda b: _pack(b, size, unit), "ids binary, m binary, dim int")
+
+    data_blocks, asked_parts = -(-n // block), min(-(-n_asked // ask_block), 4096)
+    data_parts = max(1, min(data_blocks, -(-WAVES * spark.sparkContext.defaultParallelism // asked_parts)))
+    data = stash(packed(v, block, data_blocks))
+    queries = stash(packed(v.where("want"), ask_block, asked_parts).select(F.xxhash64("ids").alias("bid"), "*"))
     edge = SCALE + 2 if unit else int(longest * SCALE) + 2
-    state = stash(blocks.mapInArrow(lambda b: _start(b, edge), STATE))
-    asked_parts, data_parts = min(count, 4096), min(count, DATA_PARTS)
-    data = blocks.select("ids", "m", "dim").repartition(data_parts)
+    state = stash(queries.mapInArrow(lambda b: _start(b, edge), STATE))
+    spread = data.repartition(data_parts)
 
     def pairs(state: DataFrame) -> DataFrame:
         """Blocks of queries with their ranges, each beside every block of data."""
-        q = blocks.select(F.col("bid").alias("qbid"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("dim").alias("qdim"))
+        q = queries.select(F.col("bid").alias("qbid"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("dim").alias("qdim"))
         q = q.join(state.select(F.col("bid").alias("qbid"), "lo", "hi", "open"), "qbid")
-        return q.repartition(asked_parts, "qbid").crossJoin(data.hint("shuffle_replicate_nl"))
-
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, "8")  # a row is two blocks of vectors
-    try:
-        while True:
-            h = pairs(state.where("left > 0")).mapInArrow(_histograms, "bid bigint, h binary")
-            both = state.withColumn("h", F.lit(None).cast("binary")).unionByName(h, allowMissingColumns=True)
-            both = both.repartition(asked_parts, "bid").sortWithinPartitions("bid")
-            new = stash(both.mapInArrow(_refine(k, slack), STATE))
-            drop(state)
-            state = new
-            if state.where("left > 0").isEmpty():
-                break
-        found = stash(pairs(state).mapInArrow(_keep(k), "query_id bigint, neighbor_id bigint, s bigint"))
-    finally:
-        spark.conf.set(batch, before)
-    drop(blocks)
-    drop(state)
+        return q.repartition(asked_parts, "qbid").crossJoin(spread.hint("shuffle_replicate_nl"))
+
+    while True:
+        h = pairs(state.where("left > 0")).mapInArrow(_histograms, "bid bigint, h binary")
+        both = state.withColumn("h", F.lit(None).cast("binary")).unionByName(h, allowMissingColumns=True)
+        both = both.repartition(asked_parts, "bid").sortWithinPartitions("bid")
+        new = stash(both.mapInArrow(_refine(k, slack), STATE))
+        drop(state)
+        state = new
+        if state.where("left > 0").isEmpty():
+            break
+    found = stash(pairs(state).mapInArrow(_keep(k), "query_id bigint, neighbor_id bigint, s bigint"))
+    for x in (data, queries, state):
+        drop(x)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "neighbor_id"))), 1, k)
     top = found.groupBy("query_id").agg(best.alias("t"))
     return top.select("query_id", F.posexplode("t").alias("p", "r")).select(
@@ -234,15 +240,15 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest other embeddings of every embedding."""
-    return exact_topk(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The ten nearest other embeddings, out of all, of every embedding whose id is divisible by 50."""
+    return exact_topk(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asked=F.col("vec_id") % EVERY == 0)
 
 
 SQL = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0),
 u AS (SELECT vec_id, list_transform(x, lambda y: CASE WHEN n > 0 THEN y / n ELSE y END) AS x FROM e),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round(list_inner_product(a.x, b.x) * 1000000000) AS BIGINT) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(round(list_inner_product(a.x, b.x) * 1000000000) AS BIGINT) AS s FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, s / 1000000000.0::DOUBLE AS score FROM r WHERE rank <= 10
 """
