@@ -81,6 +81,9 @@ def test_topk_against_all_pairs_with_ties(spark, metric):
         got.setdefault(r["query_id"], []).append(r["neighbor_id"])
     expect = {i: v for i, v in brute(rows, 5, metric).items() if v}
     assert got == expect
+    some = exact_topk(spark, df, k=5, metric=metric, slack=5, block=16, ask_block=4, asked=F.col("vec_id") % 7 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["neighbor_id"]) for r in some] == [(i, j) for i, v in sorted(expect.items()) if i % 7 == 0 for j in v]
+    assert exact_topk(spark, df, asked=F.lit(None).cast("boolean")).count() == 0
     assert exact_topk(spark, df.limit(0)).count() == 0
 
 

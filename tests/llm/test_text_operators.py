@@ -12,7 +12,7 @@ from fathom.llm.bpe import VOCABULARY, decode, encode, encoding, pieces
 from fathom.llm.exact_dedup import Trie, dedup_exact, exact_duplicates
 from fathom.llm.mixing import mix_sources
 from fathom.llm.simhash import drop_near, near_groups
-from fathom.llm.suffix_array import common_prefixes, repeated_passages, suffix_array
+from fathom.llm.suffix_array import common_prefixes, drop_passages, repeated_passages, suffix_array
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, sid bigint, h string, k double, c0 string, row int, owner string, piece int"
 EXTRA = ("en", "s", 1, 2, "h", 0.5, "c", 3, "o", 4)
@@ -47,6 +47,16 @@ def test_exact_columns_pass_and_empty_table(spark):
     assert dedup_exact(docs(spark, [])).count() == 0 and exact_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_exact_row_that_stays_is_defined(spark, limit):
+    rows = [("b", "t", k) for k in range(9)] + [("a", "t", 3), ("a", "t", 3), (None, "t", 0), (None, None, 1), (None, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, `x.own` int").repartition(5)
+    kept = [tuple(r) for r in dedup_exact(d, limit=limit).collect()]
+    assert sorted(kept, key=str) == sorted([("a", "t", 3), (None, None, 1), (None, None, 1)], key=str)
+    same = d.where("doc_id = 'b'")
+    assert len({tuple(r) for k in (1, 3, 7) for r in dedup_exact(same.repartition(k), limit=limit).collect()}) == 1
+
+
 def test_exact_pairs_with_tiny_budget_spill(spark):
     rng = random.Random(1)
     texts = [words(rng, rng.randint(1, 30)) for _ in range(150)]
@@ -55,8 +65,9 @@ def test_exact_pairs_with_tiny_budget_spill(spark):
     for i, t in rows:
         least[t] = min(i, least.get(t, i))
     expect = {(i, least[t]) for i, t in rows if least[t] != i}
-    for budget in (2_000, 96 << 20):
-        assert {tuple(r) for r in exact_duplicates(docs(spark, rows), budget=budget).collect()} == expect
+    for budget, limit in ((2_000, 0), (2_000, 9_000), (96 << 20, 1 << 20)):
+        got = [tuple(r) for r in exact_duplicates(docs(spark, rows), budget=budget, limit=limit).collect()]
+        assert len(got) == len(expect) and set(got) == expect
 
 
 def test_trie_with_and_without_spill(tmp_path):
@@ -181,13 +192,14 @@ def brute_passages(rows, least):
     return out
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
 @pytest.mark.parametrize("least", [1, 3, 12])
-def test_passages_against_all_windows(spark, least):
+def test_passages_against_all_windows(spark, least, hot):
     rng = random.Random(least)
     shared = [words(rng, rng.randint(least, least + 30)) for _ in range(8)]
     rows = [(i, ", ".join(rng.choice(shared) if rng.random() < 0.4 else words(rng, rng.randint(0, 40)) for _ in range(rng.randint(0, 6)))) for i in range(80)]
     rows += [(100, "x y " * 60), (101, "x y " * 20), (102, "x x x"), (103, None), (None, shared[0]), (104, ""), (105, "é ü. " * 30)]
-    got = {tuple(r) for r in repeated_passages(docs(spark, rows + rows[:5]), least=least).collect()}
+    got = {tuple(r) for r in repeated_passages(docs(spark, rows + rows[:5]), least=least, hot=hot).collect()}
     assert got == brute_passages(rows, least)
 
 
@@ -196,6 +208,40 @@ def test_passages_of_empty_and_null_tables(spark):
     assert repeated_passages(docs(spark, [(None, None), (1, None), (2, "few words")])).count() == 0
 
 
+def test_one_anchor_with_many_surroundings_is_split(spark):
+    """A licence line in every document, each with other words around it, some of which repeat."""
+    rng = random.Random(12)
+    line = "all rights reserved by the owners of this work and no one else may copy it"
+    around = [words(rng, 40) for _ in range(60)]
+    rows = [(i, f"{rng.choice(around)} {line} {rng.choice(around)} {words(rng, 30)}") for i in range(300)]
+    expect = brute_passages(rows, 50)
+    assert len(expect) > 100
+    for hot in (20_000, 20):
+        assert {tuple(r) for r in repeated_passages(docs(spark, rows), hot=hot).collect()} == expect
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    """Thue-Morse words and their complements collide in any polynomial hash modulo 2**64."""
+    bit = [bin(k).count("1") % 2 for k in range(2048)]
+    x, y = ("".join("ab"[b ^ k] for b in bit) for k in (0, 1))
+    same = [f"w{k}" for k in range(40)]
+    text = lambda w: " ".join([*same[:20], w, *same[20:]])
+    got = {tuple(r) for r in repeated_passages(docs(spark, [(1, text(x)), (2, text(y)), (3, text(y))]), least=30).collect()}
+    assert got == brute_passages([(1, text(x)), (2, text(y)), (3, text(y))], 30) == {(2, 0, 41, 2), (3, 0, 41, 2)}
+
+
+def test_dropped_passages_stay_in_the_least_document(spark):
+    rng = random.Random(13)
+    p, q = words(rng, 20), words(rng, 20)
+    own = [words(rng, 5) for _ in range(4)]
+    rows = [(3, f"{own[0]} ({p}). {own[1]}"), (1, f"{p}, {own[2]} {q}"), (2, f"{q} {p} {own[3]} é"), (4, None), (5, ""), (None, p)]
+    d = docs(spark, rows)
+    got = drop_passages(d, least=20)
+    assert got.schema == d.schema
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(3, f"{own[0]} (). {own[1]}"), (1, rows[1][1]), (2, f" {own[3]} é"), (4, None), (5, ""), (None, p)}
+    assert drop_passages(docs(spark, []), least=20).count() == 0
+
+
 # byte-level BPE
 
 
