@@ -24,8 +24,3 @@ for _name in OPERATORS:
     QUERIES[_m.NAME] = _m.query
     if _m.SQL is not None:
         ORACLES[_m.NAME] = _m.SQL
-
-# the cascade over all URLs stands beside the one over hosts
-_m = import_module("fathom.llm.url_cascade")
-QUERIES[_m.LIST_NAME] = _m.blocklist_query
-ORACLES[_m.LIST_NAME] = _m.LIST_SQL

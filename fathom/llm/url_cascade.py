@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.scratch import stash
+from fathom.functions.scratch import drop, stash
 
 NAME = "op6_url_filter"
 U = np.uint64
 #: Keys of the universe in one shard, on average.
 SHARD_KEYS = 200_000
+#: Parts that the rows of one shard are spread over where filters aren't broadcast.
+SALTS = 8
 #: All filters together are sent to every executor up to this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -121,19 +123,24 @@ def _shard(hash_: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(hash_, 20), F.lit(shards)).cast("int")
 
 
-def cascade_filter(spark: SparkSession, rows: DataFrame, key: Column, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` with a last column ``__listed``: whether ``key`` is among the keys of ``listed`` (its first column).
+def cascade_filter(spark: SparkSession, rows: DataFrame, key: Column, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, flag: str = "__listed") -> DataFrame:
+    """``rows`` with a last column ``flag``: whether ``key`` is among the keys of ``listed`` (its first column).
 
     The universe is all keys of ``rows`` and of ``listed``.  Two different keys
     with one 64-bit hash, of which one is listed, raise an error rather than
     give a wrong answer.  A null key is not listed; null listed keys are passed
     over, repeated ones count once; empty tables work on either side.  All other
-    columns pass through, whatever their names.  The filters are broadcast
-    if they fit in ``broadcast_bytes``; beyond that rows travel to their shard
-    and meet its one filter there.
+    columns pass through, whatever their names, but for one called ``flag``,
+    which is replaced.  The filters are broadcast if they fit in
+    ``broadcast_bytes``; beyond that rows travel to their shard and meet its one
+    filter there.
     """
-    want = listed.select(F.col(listed.columns[0]).alias("k")).where("k is not null").distinct().withColumn("l", F.lit(True))
-    have = rows.select(key.alias("k")).where("k is not null").distinct().withColumn("l", F.lit(False))
+    names = rows.columns
+    stay = [i for i, c in enumerate(names) if c != flag]
+    rows = rows.select("*", key.alias("__key")).toDF(*[f"c{i}" for i in range(len(names))], "k")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    want = listed.toDF(*[f"k{i}" for i in range(len(listed.columns))]).select(F.col("k0").alias("k")).where("k is not null").distinct().withColumn("l", F.lit(True))
+    have = rows.select("k").where("k is not null").distinct().withColumn("l", F.lit(False))
     universe = want.unionByName(have).groupBy("k").agg(F.max("l").alias("l")).withColumn("h", F.xxhash64("k"))
     known = stash(universe.groupBy("h").agg(F.max("l").alias("l"), F.min("l").alias("all_l")))
     n, clash = known.agg(F.count(F.lit(1)), F.count_if(F.col("l") & ~F.col("all_l"))).first()
@@ -147,15 +154,13 @@ def cascade_filter(spark: SparkSession, rows: DataFrame, key: Column, listed: Da
         .mapInArrow(_shard_cascades, "shard int, cascade binary")
     )
     made = stash(made)
+    drop(known)
     size = made.agg(F.coalesce(F.sum(F.octet_length("cascade")), F.lit(0))).first()[0]
-    names = rows.columns
-    cols = [rows[c].alias(f"c{i}") for i, c in enumerate(names)] if len(set(names)) == len(names) else None
-    if cols is None:
-        raise ValueError("rows has two columns of one name")
-    sent = rows.select(*cols, F.when(key.isNotNull(), F.xxhash64(key)).alias("__h"))
-    schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(rows.dtypes)) + ", l boolean"
+    sent = rows.select(*[f"c{i}" for i in stay], F.when(F.col("k").isNotNull(), F.xxhash64("k")).alias("__h"))
+    schema = "".join(f"c{i} {kinds[f'c{i}']}, " for i in stay) + "l boolean"
     if size <= broadcast_bytes:
         table = spark.sparkContext.broadcast({r["shard"]: bytes(r["cascade"]) for r in made.toLocalIterator()})
+        drop(made)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -165,12 +170,14 @@ def cascade_filter(spark: SparkSession, rows: DataFrame, key: Column, listed: Da
 
         out = sent.mapInArrow(ask, schema)
     else:
-        at = sent.withColumn("__s", _shard(F.coalesce("__h", F.lit(0)), shards))
-        small = made.select(F.col("shard").alias("__s"), F.col("cascade").alias("__c"))
+        # a shard of filters and the rows of a hot shard are spread over salts; each salt gets its own copy of the filter
+        spread = F.pmod(F.xxhash64("__h", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        at = sent.withColumns({"__s": _shard(F.coalesce("__h", F.lit(0)), shards), "__t": spread})
+        small = made.select(F.col("shard").alias("__s"), F.col("cascade").alias("__c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__t"))
         near = at.withColumn("__c", F.lit(None).cast("binary")).unionByName(
-            small.select(*[F.lit(None).cast(t).alias(f"c{i}") for i, (_, t) in enumerate(rows.dtypes)], F.lit(None).cast("bigint").alias("__h"), "__s", "__c")
+            small.select(*[F.lit(None).cast(kinds[f"c{i}"]).alias(f"c{i}") for i in stay], F.lit(None).cast("bigint").alias("__h"), "__s", "__t", "__c")
         )
-        near = near.repartition("__s").sortWithinPartitions(F.col("__s"), F.col("__c").isNull())
+        near = near.repartition("__s", "__t").sortWithinPartitions("__s", "__t", F.col("__c").isNull())
 
         def ask_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here: dict[int, bytes] = {}
@@ -184,10 +191,10 @@ def cascade_filter(spark: SparkSession, rows: DataFrame, key: Column, listed: Da
                     here = {s: here[s] for s in {int(x) for x in shard} if s in here}
                     col = rest.column("__h")
                     h = col.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                    yield _answer(rest.drop_columns(["__s", "__c"]), h, (h >> U(20)) % U(shards), here, col)
+                    yield _answer(rest.drop_columns(["__s", "__t", "__c"]), h, (h >> U(20)) % U(shards), here, col)
 
         out = near.mapInArrow(ask_near, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("l").alias("__listed"))
+    return out.toDF(*[names[i] for i in stay], flag)
 
 
 def _answer(b: pa.RecordBatch, h: np.ndarray, shard: np.ndarray, table: dict[int, bytes], col: pa.Array) -> pa.RecordBatch:
@@ -200,48 +207,45 @@ def _answer(b: pa.RecordBatch, h: np.ndarray, shard: np.ndarray, table: dict[int
     return pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-1], "l"])
 
 
-def host(url: Column) -> Column:
-    """Lower-case host of a URL; null where there is none."""
-    h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
-    return F.when(h != "", h)
+_HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#\\]*@)?(\[[^\]/?#]*\]|[^/?#\\:@]*)"
+_PATH = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#\\]*([/\\][^?#]*)"
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page with whether its host is listed: hosts that serve any page without encryption."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    pages = pages.withColumn("host", host(F.col("url")))
-    listed = pages.where(F.lower("url").startswith("http://")).select("host")
-    return cascade_filter(spark, pages, F.col("host"), listed).withColumnRenamed("__listed", "listed")
+def host(url: Column) -> Column:
+    """Lower-case host of a URL, null where there is none.
+
+    User info, port, dots at the end and white space before it are no part of it;
+    a back slash ends it like a slash; a URL without a scheme has one if it
+    begins with two slashes.
+    """
+    h = F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("."))
+    return F.when(h != "", h)
 
 
-SQL = """
-WITH p AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') AS host FROM pages)
-SELECT page_id, url, host, host IS NOT NULL AND host IN (SELECT host FROM p WHERE lower(url) LIKE 'http://%' AND host IS NOT NULL) AS listed FROM p
-"""
+def url_key(url: Column) -> Column:
+    """Host and path of a URL, without slashes at its end; null where there is no host."""
+    path = F.translate(F.regexp_extract(url, _PATH, 1), "\\", "/")
+    return F.concat(host(url), F.rtrim(path, F.lit("/")))
 
 
-LIST_NAME = "op6_url_blocklist"
 #: Sites whose URLs are listed, under whatever prefix and domain, however many pages they have.
 BLOCKED = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-_BLOCKED = rf"(^|\.)({'|'.join(BLOCKED)})\."
-_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
 
-def url_key(url: Column) -> Column:
-    """Lower-case host and path of a URL, without slashes at its end; null where there is no host."""
-    return F.concat(host(url), F.regexp_replace(F.regexp_extract(url, _PATH, 1), "/+$", ""))
-
-
-def blocklist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with whether its URL is listed: URLs of blocked sites, out of all URLs."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     pages = pages.withColumn("key", url_key(F.col("url")))
-    listed = pages.where(host(F.col("url")).rlike(_BLOCKED)).select("key")
-    return cascade_filter(spark, pages, F.col("key"), listed).withColumnRenamed("__listed", "listed")
+    listed = pages.where(F.arrays_overlap(F.split(host(F.col("url")), r"\."), F.array(*map(F.lit, BLOCKED)))).select("key")
+    return cascade_filter(spark, pages, F.col("key"), listed, flag="listed")
 
 
-LIST_SQL = f"""
-WITH h AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '') AS host FROM pages),
-p AS (SELECT page_id, url, host, host || regexp_replace(regexp_extract(url, '{_PATH}', 1), '/+$', '') AS key FROM h)
-SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM p WHERE regexp_matches(host, '{_BLOCKED}')) AS listed FROM p
+SQL = """
+WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) WHEN starts_with(url, '//') THEN substr(url, 3) END AS rest FROM pages),
+a AS (SELECT *, split_part(translate(rest, '?#' || chr(92), '///'), '/', 1) AS authority, split_part(split_part(rest, '?', 1), '#', 1) AS place FROM r),
+h AS (SELECT *, list_last(string_split(authority, '@')) AS named FROM a),
+p AS (SELECT page_id, url, nullif(rtrim(lower(CASE WHEN starts_with(named, '[') THEN split_part(named, ']', 1) || ']' ELSE split_part(named, ':', 1) END), '.'), '') AS host,
+  rtrim(replace(substr(place, length(authority) + 1), chr(92), '/'), '/') AS path FROM h),
+k AS (SELECT page_id, url, host || path AS key, list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS bad FROM p)
+SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM k WHERE bad AND key IS NOT NULL) AS listed FROM k
 """
