@@ -2,9 +2,11 @@
 
 Statistics of a document go through cosines of random projections, which
 approximates a Gaussian kernel.  Each partition of the labelled rows adds up its
-normal equations; their sum is solved once for ridge weights.  A monotone
-function from raw score to probability is fitted by pooling adjacent violators
-on counts of a fine grid of scores, also summed by partition.
+normal equations, those of each fold apart; the sum of all folds is solved for
+ridge weights.  For the calibration a row is scored with weights of the other
+folds, which never saw it: a monotone function from raw score to probability is
+fitted by pooling adjacent violators on counts of a fine grid of such scores,
+also summed by partition.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.scratch import stash
+from fathom.functions.scratch import drop, stash
 from fathom.llm.words import PUNCT, SPACE, Words, slices
 
 NAME = "op9_quality_classifier"
@@ -25,6 +27,8 @@ FEATURES = 256
 SIGMA = 2.5
 RIDGE = 1e-3
 SEED = 11
+#: Parts of the labelled rows, by a hash of the text, for scores that the calibration is fitted on.
+FOLDS = 5
 #: Score grid of the calibration.
 GRID = 2048
 #: Labelled rows that the classifier is fitted on: the ones with the smallest hash of their id.
@@ -94,7 +98,7 @@ class Model:
         return np.interp(raw, self.edges, self.values)
 
 
-def _batch_stats(column: pa.Array) -> np.ndarray:
+def batch_stats(column: pa.Array) -> np.ndarray:
     parts = [statistics(d, o) for _, _, d, o in slices(column)]
     return np.concatenate(parts) if parts else np.zeros((0, STATS))
 
@@ -123,18 +127,26 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = MAX_TRAIN, id_col: str = "doc_id", text: str = "text") -> Model | None:
-    """A model of ``labels`` (doc_id, label 0 or 1); None if no document is labelled or all have one label."""
+    """A model of ``labels`` (doc_id, label 0 or 1); None if no document is labelled or all have one label.
+
+    At most ``bound`` labelled ids are fitted on, the ones with the least hashes.
+    A null id or label, an id without a document and a null text are passed
+    over; of several labels of one id the greatest counts.  Ids must be integers,
+    or strings of integers.
+    """
     train = labelled(docs, labels, label, bound, id_col, text)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _batch_stats(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATS).cast(pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+            x = batch_stats(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATS).cast(pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "fold"])
 
-    seen = stash(train.mapInArrow(stats, "x array<double>, y double"))
+    train = train.select("text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    seen = stash(train.mapInArrow(stats, "x array<double>, y double, fold int"))
     cols = [F.element_at("x", j + 1) for j in range(STATS)]
     row = seen.agg(F.count(F.lit(1)), F.min("y"), F.max("y"), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
     if not row[0] or row[1] == row[2]:
+        drop(seen)
         return None
     mean, spread = np.array(row[3 : 3 + STATS]), np.array(row[3 + STATS :])
     rng = np.random.Generator(np.random.PCG64(SEED))
@@ -145,34 +157,45 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
         return b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, STATS)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((FOLDS, size, size + 1))
         for b in batches:
             z = model.project(read(b))
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            total[:, :size] += z.T @ z
-            total[:, size] += z.T @ y
+            y, fold = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for f in range(FOLDS):
+                at = fold == f
+                total[f, :, :size] += z[at].T @ z[at]
+                total[f, :, size] += z[at].T @ y[at]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    whole = _sum(seen.mapInArrow(equations, "m binary"), (size, size + 1))
-    gram = whole[:, :size] + RIDGE * row[0] * np.eye(size)
-    model.weights = np.linalg.solve(gram, whole[:, size])
+    each = _sum(seen.mapInArrow(equations, "m binary"), (FOLDS, size, size + 1))
+
+    def solved(whole: np.ndarray) -> np.ndarray:
+        # the last feature is 1, so the last entry counts the rows
+        return np.linalg.solve(whole[:, :size] + RIDGE * whole[size - 1, size - 1] * np.eye(size), whole[:, size])
+
+    whole = each.sum(0)
+    model.weights = solved(whole)
+    others = np.stack([solved(whole - part) if part[size - 1, size - 1] < whole[size - 1, size - 1] else model.weights for part in each])
 
     def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, GRID))
         for b in batches:
-            at = np.clip(((model.raw(read(b)) + 0.5) * (GRID / 2)).astype(np.int64), 0, GRID - 1)
+            y, fold = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            raw = (model.project(read(b)) * others[fold]).sum(1)
+            at = np.clip(((raw + 0.5) * (GRID / 2)).astype(np.int64), 0, GRID - 1)
             total[0] += np.bincount(at, minlength=GRID)
-            total[1] += np.bincount(at, b.column(1).to_numpy(zero_copy_only=False), GRID)
+            total[1] += np.bincount(at, y, GRID)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
     n, good = _sum(seen.mapInArrow(grid, "m binary"), (2, GRID))
+    drop(seen)
     at = np.flatnonzero(n)
     model.edges = (at + 0.5) / (GRID / 2) - 0.5
     model.values = isotonic(good[at] / n[at], n[at])
     return model
 
 
-def _sum(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+def _sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     """The sum of one matrix a partition, added up in groups of 64 before the last step."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +215,7 @@ def _sum(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 def _pass(model: Model, text_at: int, keep: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = model.raw(_batch_stats(b.column(text_at)))
+            raw = model.raw(batch_stats(b.column(text_at)))
             p = model.probability(raw)
             if keep is not None:
                 yield b.filter(pa.array(p >= keep))
@@ -216,7 +239,11 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
 
 def filter_quality(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose probability of being good is at least ``threshold``, all columns kept."""
+    """The rows of ``docs`` whose probability of being good is at least ``threshold``, all columns kept, whatever their names.
+
+    A null text counts as empty; repeated rows stay or go together; without a
+    model everything stays; an empty table gives an empty one.
+    """
     if model is None:
         return docs
     raw = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
