@@ -2,11 +2,14 @@
 
 P(grade >= k) = sigmoid(x . w - theta_k): all thresholds share the weights w, and
 theta_1 < theta_2 < theta_3.  x marks which hashed features a text has: its
-lower-cased words, and their first 4, 5 and 6 bytes, which inflected forms share.
-
-The label table only says toxic or not, so ordered grades are made of it: a
-clean text has grade 0; toxic ones are cut in three by how many different
-features they hold that labels mark as typical of toxic texts.
+lower-cased words, and their first 4, 5 and 6 bytes (whole characters), which
+inflected forms share.
+
+The label table only says toxic or not, so ordered grades are made of it, and
+severity is no more than this: a clean text has grade 0; toxic ones are ranked
+by how surely a regression of one threshold, fitted on the other ``FOLDS`` - 1
+parts of the labelled texts, takes them for toxic, and cut into three equal
+parts.  A table of real grades goes in as it is.
 """
 
 from __future__ import annotations
@@ -19,23 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.scratch import stash
+from fathom.functions.scratch import drop, stash
 from fathom.llm.quality import labelled
 from fathom.llm.words import PUNCT, Words, slices
 
 NAME = "op3_toxicity"
 BITS = 20
-#: Features kept, those that tell toxic from clean labels best.
+#: Size of the model: features kept, those that tell toxic from clean labels best.
 KEPT = 8192
-#: Labelled texts with fewer than this many of a feature don't teach it.
+#: A feature in fewer labelled texts than this is none of them.
 LEAST = 4
 GRADES = 3
+#: Parts of the labelled texts, by a hash of the text, for the ranks that grades come from.
+FOLDS = 4
 #: Labelled rows that the model is fitted on: the ones with the smallest hash of their id.
 MAX_TRAIN = 12_000
 PENALTY = 2.0
 STEPS = 300
-#: A text is toxic from this probability of grade 1 or more: to let a toxic text pass counts as four times as bad as to flag a clean one.
-THRESHOLD = 0.2
+#: How many times worse it is to let a toxic text pass than to flag a clean one; a text is toxic from the probability of grade 1 or more at which both cost the same.
+MISS_COST = 4
+THRESHOLD = 1 / (1 + MISS_COST)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -110,7 +116,15 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, size: i
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = MAX_TRAIN, id_col: str = "doc_id", text: str = "text") -> Model | None:
-    """A model of ``labels`` (doc_id, label 0 or 1); None if no document is labelled or all have one label."""
+    """A model of ``labels`` (doc_id, label); None if no document is labelled or all have one label.
+
+    Labels are 0 or 1, of which grades are made, or grades from 0 themselves, if
+    any is greater than 1.  At most ``bound`` labelled ids are fitted on, those
+    with the least hashes; the model has at most ``KEPT`` features.  A null id or
+    label, an id without a document and a null text are passed over; of several
+    labels of one id the greatest counts.  With fewer toxic texts than grades
+    there are fewer grades.  Ids must be integers, or strings of integers.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,9 +132,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
                 r, f = _distinct(*features(data, offsets))
                 cut = np.searchsorted(r, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(f.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), lists], ["y", "f"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), lists, b.column(2).slice(i, j - i)], ["y", "f", "t"])
 
-    seen = stash(labelled(docs, labels, label, bound, id_col, text).mapInArrow(extract, "y double, f array<int>"))
+    train = labelled(docs, labels, label, bound, id_col, text).withColumn("t", F.xxhash64("text"))
+    seen = stash(train.mapInArrow(extract, "y double, f array<int>, t bigint"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -135,15 +150,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
 
     n0, n1 = seen.agg(F.coalesce(F.count_if(F.col("y") == 0), F.lit(0)), F.coalesce(F.count_if(F.col("y") > 0), F.lit(0))).first()
     if not n0 or not n1:
+        drop(seen)
         return None
     sums = seen.mapInArrow(tally, "f int, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     r0, r1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     error = F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
     sums = sums.where(F.col("n0") + F.col("n1") >= LEAST).withColumn("z", F.log(r1 / r0) / error)
-    best = sums.orderBy(F.abs("z").desc(), "f").limit(KEPT).select("f", "z", F.log(r1 / r0).alias("odds")).collect()
+    best = sums.orderBy(F.abs("z").desc(), "f").limit(KEPT).select("f").collect()
     chosen = np.full(1 << BITS, -1, np.int16)
     chosen[[r["f"] for r in best]] = np.arange(len(best))
-    marker = np.array([r["odds"] > np.log(8) and r["z"] > 4 for r in best], bool)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,23 +166,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
             row = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))[at >= 0]
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[at >= 0].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(2)], ["y", "f", "t"])
 
-    got = seen.mapInArrow(place, "y double, f array<int>").toArrow()
+    got = seen.mapInArrow(place, "y double, f array<int>, t bigint").toArrow().sort_by("t")
+    drop(seen)
     lists = got.column("f").combine_chunks()
-    y = got.column("y").to_numpy() > 0
+    y, fold = got.column("y").to_numpy().astype(np.int64), got.column("t").to_numpy() % FOLDS
     feature = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    hits = np.bincount(row, marker[feature], len(y))
-    low, high = np.quantile(hits[y], [1 / 3, 2 / 3])
-    grade = np.where(y, 1 + (hits > low) + (hits > high), 0)
-    weights, theta = fit_ordinal(row, feature, _dense(grade), len(best))
+    grade = y if y.max() > 1 else grades(row, feature, y, fold, len(best))
+    weights, theta = fit_ordinal(row, feature, np.searchsorted(np.unique(grade), grade), len(best))
     return Model(chosen, weights, theta)
 
 
-def _dense(grade: np.ndarray) -> np.ndarray:
-    """Grades without gaps, where two cuts fell together."""
-    return np.searchsorted(np.unique(grade), grade)
+def grades(row: np.ndarray, feature: np.ndarray, y: np.ndarray, fold: np.ndarray, size: int) -> np.ndarray:
+    """Grades 0 to GRADES of labels 0 and 1: the rank of a toxic text among them by a model that didn't see it."""
+    eta = np.zeros(len(y))
+    for f in range(FOLDS):
+        own = fold == f
+        if own.any() and len(np.unique(y[~own])) == 2:
+            number = np.cumsum(~own) - 1
+            used = ~own[row]
+            w, _ = fit_ordinal(number[row[used]], feature[used], y[~own], size)
+            eta[own] = np.bincount(row, w[feature], len(y))[own]
+    toxic = np.flatnonzero(y)
+    rank = np.empty(len(toxic), np.int64)
+    rank[np.argsort(eta[toxic], kind="stable")] = np.arange(len(toxic))
+    out = np.zeros(len(y), np.int64)
+    out[toxic] = 1 + rank * GRADES // len(toxic)
+    return out
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,11 +91,15 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, first_bytes: int | None = None) -> np.ndarray:
-        """Hash of each word, or of its first bytes."""
+        """Hash of each word, or of its first bytes, up to the end of the character that they end in."""
         if self._prefix is None:
             self._prefix = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_TABLE[self.data] * powers(BASE, len(self.data)), out=self._prefix[1:])
         end = self.end if first_bytes is None else np.minimum(self.end, self.start + first_bytes)
+        for _ in range(0 if first_bytes is None else 3):
+            inner = end < self.end
+            inner[inner] = self.data[end[inner]] & 0xC0 == 0x80
+            end = end + inner
         salt = U(0 if first_bytes is None else first_bytes * 0x632BE59BD9B4E019 % (1 << 64))
         return mix((self._prefix[end] - self._prefix[self.start]) * powers(INVERSE, max(1, len(self.data)))[self.start] ^ salt)
 
