@@ -155,13 +155,16 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ch
     """``docs`` with its text replaced by ``tokens`` (array<int>), as the last column; all other columns are kept.
 
     With ``verify`` a column ``round_trip`` follows: whether the row's final
-    tokens, decoded by ``decode``, are the bytes of the whole text.  A null text has null tokens, an empty one none;
-    repeated rows are encoded each; an empty table gives an empty one.  The
-    result equals encoding each text at once, for any ``chunk`` and ``overlap``.
+    tokens, decoded by ``decode``, are the bytes of the whole text.  A null text
+    has null tokens, an empty one none; repeated rows are encoded each; an empty
+    table gives an empty one; columns called ``tokens``, or ``round_trip`` with
+    ``verify``, are replaced.  The result equals encoding each text at once, for
+    any ``chunk`` and ``overlap``; a text that is one pre-token (a megabyte of one
+    letter) stays one piece, for it has no other boundary.
     """
     names = docs.columns
     t = names.index(text)
-    others = [k for k in range(len(names)) if k != t]
+    others = [k for k in range(len(names)) if k != t and names[k] not in (["tokens", "round_trip"] if verify else ["tokens"])]
     raw = docs.toDF(*[f"c{k}" for k in range(len(names))])
     kinds = {f.name: f.dataType.simpleString() for f in raw.schema}
     carried = [*others, t] if verify else others
@@ -189,9 +192,11 @@ def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULAR
 
     Null tokens give null; bytes that are no UTF-8 (a token list cut inside a
     character) become replacement characters; an unknown or null token raises.
+    A column called ``text`` is replaced; an empty table gives an empty one.
     """
-    names = coded.columns
-    raw = coded.toDF(*[f"c{k}" for k in range(len(names))])
+    stay = [k for k, c in enumerate(coded.columns) if c != "text"]
+    names = [coded.columns[k] for k in stay]
+    raw = coded.toDF(*[f"c{k}" for k in range(len(coded.columns))]).select(*[f"c{k}" for k in stay])
     at = names.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
