@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.operators import graph as G
-from fathom.operators.components import connected_components
+from fathom.plans.memo import memo
 from fathom.plans.model import SQL, project
 from fathom.plans.registry import query, table
 
@@ -30,11 +30,6 @@ def unreferenced_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("root_reasons", f"{W} SELECT reason, count(*) AS n FROM roots GROUP BY reason")
-def root_reasons(spark, sf_dir):
-    return project(spark, sf_dir).roots.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("reach", f"{W}, {FOUND} SELECT node FROM found")
 def reach(spark, sf_dir):
     c = project(spark, sf_dir)
@@ -89,18 +84,37 @@ def reach_standard(spark, sf_dir):
     return G.standard_reach(c.roots, c.decls, c.edges)
 
 
-DEEP = f"""{FOUND}, {STRICT}, {UP}, b1 AS (SELECT node FROM found UNION SELECT node FROM up),
-more AS (SELECT src, dst FROM edges UNION
-  SELECT p.decl_id, c.decl_id FROM decls c JOIN decls p ON c.parent_id = p.decl_id WHERE contains(c.mods, 'override') OR contains(c.mods, 'suspend') OR c.kind = 'Constructor' OR c.name = 'Companion' OR contains(p.anns, 'Serializable')
-  UNION SELECT p.decl_id, c.decl_id FROM decls p JOIN decls c ON regexp_replace(c.supers, '[<(].*$', '') = p.name WHERE c.supers <> '' AND (p.kind = 'Interface' OR contains(p.mods, 'sealed'))),
-b2 AS (SELECT node FROM b1 UNION SELECT e.dst FROM edges e JOIN decls d ON d.decl_id = e.src WHERE d.kind IN ('Property', 'Field') AND d.parent_id IN (SELECT node FROM b1)),
+def _listed(col: str, words: list[str]) -> str:
+    return f"len(list_filter({words!r}, lambda w: contains({col}, w))) > 0"
+
+
+#: Super types of each declaration by simple name.
+SUPERS = """bases AS (SELECT decl_id, list_last(string_split(split_part(split_part(s, '<', 1), '(', 1), '.')) AS base FROM (SELECT decl_id, unnest(string_split(supers, ' ')) AS s FROM decls WHERE supers <> '') WHERE s <> '')"""
+SERIAL = f"""(({_listed("c.anns", G.SERIAL_NAMES)}) OR c.kind IN ('Property', 'Field') AND (({_listed("p.anns", G.SERIAL_NAMES)}) OR list_has_any(list_transform(string_split(p.supers, ' '), lambda z: list_last(string_split(split_part(split_part(z, '<', 1), '(', 1), '.'))), ['Serializable', 'Parcelable', 'Externalizable']))
+  OR c.kind IN ('Function', 'Method') AND c.name IN {tuple(G.SERIAL_METHODS)!r})"""
+LIFE = f"""{SUPERS},
+life AS (
+  SELECT p.decl_id AS src, c.decl_id AS dst FROM decls c JOIN decls p ON c.parent_id = p.decl_id
+  WHERE list_contains(string_split(c.mods, ' '), 'override') OR contains(c.anns, 'Override') OR coalesce({SERIAL}, FALSE) OR c.kind = 'Object' AND contains(c.mods, 'companion') OR c.kind = 'Property' AND contains(c.mods, 'delegated')
+    OR c.kind IN ('Function', 'Method') AND contains(c.mods, 'suspend') OR contains(c.name, 'Flow') OR contains(c.anns, 'FlowPreview') OR contains(c.anns, 'ExperimentalCoroutinesApi')
+    OR c.kind = 'Constructor' AND (p.decl_id IN (SELECT decl_id FROM roots) OR p.decl_id IN (SELECT dst FROM edges WHERE kind IN ('Call', 'Instantiation')))
+  UNION ALL
+  SELECT p.decl_id, b.decl_id FROM decls p JOIN bases b ON b.base = p.name WHERE p.kind = 'Interface' OR p.kind = 'Class' AND p.language = 'Kotlin' AND contains(p.mods, 'sealed'))"""
+DEEP = f"""{FOUND}, {STRICT}, {UP}, b1 AS (SELECT node FROM found UNION SELECT node FROM up), {LIFE},
+more AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM life),
+b2 AS (SELECT node FROM b1 UNION SELECT e.dst FROM edges e JOIN decls d ON d.decl_id = e.src JOIN decls t ON t.decl_id = d.parent_id AND t.kind IN ('Class', 'Interface', 'Object', 'Enum') WHERE d.kind IN ('Property', 'Field') AND d.parent_id IN (SELECT node FROM b1)),
 deep AS (SELECT node FROM b2 UNION SELECT dst FROM more JOIN deep ON src = node)"""
 
 
+def live(spark, sf_dir):
+    """(node): what the deep analysis reaches, once a session."""
+    c = project(spark, sf_dir)
+    return memo(spark, sf_dir, "live", lambda: G.deep_reach(c.roots, c.decls, c.edges).distinct())
+
+
 @query("reach_deep", f"{W}, {DEEP} SELECT DISTINCT node FROM deep")
 def reach_deep(spark, sf_dir):
-    c = project(spark, sf_dir)
-    return G.deep_reach(c.roots, c.decls, c.edges).distinct()
+    return live(spark, sf_dir)
 
 
 @query("unreachable_decls", f"""{W}, {DEEP} SELECT decl_id, name, kind, file, line, CASE WHEN decl_id IN (SELECT dst FROM edges) THEN 'only referenced from dead code' ELSE 'never referenced' END AS message
@@ -108,9 +122,9 @@ FROM decls WHERE decl_id NOT IN (SELECT node FROM deep) AND kind <> 'Parameter'"
 def unreachable_decls(spark, sf_dir):
     """Declarations that the deep analysis doesn't reach."""
     c = project(spark, sf_dir)
-    live = G.deep_reach(c.roots, c.decls, c.edges).select(F.col("node").alias("decl_id"))
+    alive = live(spark, sf_dir).select(F.col("node").alias("decl_id"))
     into = c.edges.select(F.col("dst").alias("decl_id")).distinct().withColumn("hit", F.lit(True))
-    dead = c.decls.where("kind <> 'Parameter'").join(live, "decl_id", "left_anti").join(into, "decl_id", "left")
+    dead = c.decls.where("kind <> 'Parameter'").join(alive, "decl_id", "left_anti").join(into, "decl_id", "left")
     return dead.select("decl_id", "name", "kind", "file", "line", F.when(F.col("hit"), "only referenced from dead code").otherwise("never referenced").alias("message"))
 
 
@@ -140,24 +154,6 @@ def nesting_depth(spark, sf_dir):
     return G.depth(project(spark, sf_dir).decls).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rule_ap002", f"""{W}, links AS (SELECT DISTINCT a.name, b.name AS up FROM decls a JOIN decls b ON regexp_replace(a.supers, '[<(].*$', '') = b.name WHERE a.supers <> ''),
-t AS (SELECT DISTINCT name, 0 AS d FROM decls UNION SELECT links.name, d + 1 FROM links JOIN t ON links.up = t.name),
-m AS (SELECT name, max(d) AS depth FROM t GROUP BY name) SELECT decl_id AS node, depth FROM decls JOIN m USING (name) WHERE kind = 'Class' AND depth >= 1 AND NOT starts_with(name, 'Base')""")
-def deep_inheritance(spark, sf_dir):
-    c = project(spark, sf_dir)
-    d = G.inheritance_depth(c.decls)
-    own = c.decls.where("kind = 'Class' and not startswith(name, 'Base')").select(F.col("decl_id").alias("node"))
-    return d.where("depth >= 1").join(own, "node", "left_semi")
-
-
-@query("rule_ap003", f"""{W} SELECT i.name, count(*) AS n_types FROM decls i JOIN (SELECT name, count(*) AS n FROM (SELECT DISTINCT supers AS name, name AS cls FROM decls WHERE kind = 'Class' AND supers <> '') GROUP BY name HAVING count(*) = 1) s ON s.name = i.name
-WHERE i.kind = 'Interface' GROUP BY i.name""")
-def single_impl(spark, sf_dir):
-    c = project(spark, sf_dir)
-    one = c.decls.where("kind = 'Class' and supers <> ''").select(F.col("supers").alias("name"), F.col("name").alias("cls")).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return c.decls.where("kind = 'Interface'").join(one, "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n_types"))
-
-
 #: A graph with cycles over all parts: steps of 7k + 3, steps back by size, and some of the first turned round.
 CYCLIC = """n AS (SELECT count(*) AS n FROM part),
 cyc AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % n AS dst FROM part, n WHERE p_size <= 45
@@ -191,49 +187,41 @@ def cycle_stats(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("cycles"), F.max("n").alias("largest"), F.sum("n").alias("nodes"))
 
 
-@query("zombie_pairs", f"WITH RECURSIVE {CYCLIC}, live AS (SELECT p_partkey AS node FROM part WHERE {CYCLE_ROOTS} UNION SELECT dst FROM cyc JOIN live ON src = node) SELECT a.src AS a, a.dst AS b FROM cyc a JOIN cyc b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.src NOT IN (SELECT node FROM live) AND a.dst NOT IN (SELECT node FROM live)")
-def zombie_pairs(spark, sf_dir):
-    e = cyclic(spark, sf_dir)
-    return G.zombie_pairs(e, G.reach(table(spark, sf_dir, "part").where(CYCLE_ROOTS).select("p_partkey"), e))
-
-
-DEAD = f"{FOUND}, dead AS (SELECT decl_id FROM decls WHERE decl_id NOT IN (SELECT node FROM found) AND kind <> 'Parameter')"
-
-
-def _clusters(spark, sf_dir):
-    c = project(spark, sf_dir)
-    live = G.reach(c.roots, c.edges).select(F.col("node").alias("decl_id"))
-    dead = c.decls.where("kind <> 'Parameter'").join(live, "decl_id", "left_anti").select("decl_id", "parent_id", "bytes")
-    ids = dead.select("decl_id")
-    links = c.edges.where("not ambiguous").select("src", "dst")
-    links = links.join(ids.withColumnRenamed("decl_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("decl_id", "dst"), "dst", "left_semi")
-    return dead, connected_components(links.select("src", "dst"))
+LIVE_CYC = f"live AS (SELECT p_partkey AS node FROM part WHERE {CYCLE_ROOTS} UNION SELECT dst FROM cyc JOIN live ON src = node)"
 
 
-@query("clusters", f"""{W}, {DEAD}, l AS (SELECT src AS a, dst AS b FROM edges WHERE NOT ambiguous AND src IN (SELECT decl_id FROM dead) AND dst IN (SELECT decl_id FROM dead)),
-s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), t AS (SELECT a AS node, a AS r FROM s UNION SELECT s.b, t.r FROM t JOIN s ON s.a = t.node WHERE t.r < s.b) SELECT node, min(r) AS component FROM t GROUP BY node""")
-def clusters(spark, sf_dir):
-    """Components of unreachable declarations by unambiguous references."""
-    return _clusters(spark, sf_dir)[1]
+@query("dead_cycles", f"""{CLOSED}, {LIVE_CYC}, m AS (SELECT a.src AS node, max(a.dst) AS component, count(DISTINCT a.dst) AS n FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+s AS (SELECT node, component FROM m WHERE n > 1), bad AS (SELECT component FROM s WHERE node IN (SELECT node FROM live)
+  UNION SELECT x.component FROM cyc JOIN s x ON x.node = cyc.dst LEFT JOIN s y ON y.node = cyc.src WHERE y.component IS DISTINCT FROM x.component)
+SELECT component, count(*) AS members FROM s JOIN part ON p_partkey = node WHERE component NOT IN (SELECT component FROM bad) GROUP BY component HAVING count(*) FILTER (WHERE p_size > 5) > 0""")
+def dead_cycles(spark, sf_dir):
+    """Cycles that nothing outside refers to, without a reachable member, with a member of a kind that matters (parts above size 5)."""
+    e, p = cyclic(spark, sf_dir), table(spark, sf_dir, "part")
+    kinds = p.select(F.col("p_partkey").alias("node"), (F.col("p_size") > 5).alias("matters"))
+    return G.dead_cycles(e, G.reach(p.where(CYCLE_ROOTS).select("p_partkey"), e), kinds)
 
 
-@query("cluster_sizes")
-def cluster_sizes(spark, sf_dir):
-    """Islands of 2 to 8: components of dead declarations, largest first, with their bytes."""
-    dead, comp = _clusters(spark, sf_dir)
-    per = comp.join(dead, F.col("node") == F.col("decl_id")).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
-    return per.where("members between 2 and 8")
+@query("zombie_pairs", f"WITH RECURSIVE {CYCLIC}, live AS (SELECT p_partkey AS node FROM part WHERE {CYCLE_ROOTS} UNION SELECT dst FROM cyc JOIN live ON src = node) SELECT a.src AS a, a.dst AS b FROM cyc a JOIN cyc b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.src NOT IN (SELECT node FROM live) AND a.dst NOT IN (SELECT node FROM live)")
+def zombie_pairs(spark, sf_dir):
+    e = cyclic(spark, sf_dir)
+    return G.zombie_pairs(e, G.reach(table(spark, sf_dir, "part").where(CYCLE_ROOTS).select("p_partkey"), e))
 
 
 @query("module_usage", f"""{W}, x AS (SELECT d.module AS m, s.module AS by_m FROM edges e JOIN decls s ON s.decl_id = e.src JOIN decls d ON d.decl_id = e.dst WHERE NOT ambiguous)
-SELECT m AS module, CASE WHEN count(*) FILTER (WHERE m <> by_m) > 0 THEN 'used' ELSE 'internal' END AS state, count(DISTINCT by_m) FILTER (WHERE m <> by_m) AS n_users, count(*) AS n_refs FROM x GROUP BY m""")
+SELECT t.module, CASE WHEN count(by_m) FILTER (WHERE m <> by_m) > 0 THEN 'used' WHEN count(by_m) > 0 THEN 'internal' ELSE 'unreferenced' END AS state, count(DISTINCT by_m) FILTER (WHERE m <> by_m) AS n_users, count(by_m) AS n_refs
+FROM (SELECT DISTINCT module FROM decls UNION SELECT 'm' || (25 + r_regionkey) FROM region) t LEFT JOIN x ON x.m = t.module GROUP BY t.module""")
 def module_usage(spark, sf_dir):
+    """Modules, some without a declaration, by who refers to them without ambiguity."""
     c = project(spark, sf_dir)
     m = c.decls.select("decl_id", "module")
+    every = m.select("module").unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("m"), (F.col("r_regionkey") + 25).cast("string")).alias("module"))).distinct()
     x = c.edges.where("not ambiguous").join(m.select(F.col("decl_id").alias("src"), F.col("module").alias("by_m")), "src").join(m.select(F.col("decl_id").alias("dst"), "module"), "dst")
+    n = x.groupBy("module", "by_m").agg(F.count(F.lit(1)).alias("n"))
     far = F.col("module") != F.col("by_m")
-    g = x.groupBy("module").agg(F.count_if(far).alias("n_far"), F.count_distinct(F.when(far, F.col("by_m"))).alias("n_users"), F.count(F.lit(1)).alias("n_refs"))
-    return g.select("module", F.when(F.col("n_far") > 0, "used").otherwise("internal").alias("state"), "n_users", "n_refs")
+    g = n.groupBy("module").agg(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("n_far"), F.count_if(far).alias("n_users"), F.sum("n").alias("n_refs"))
+    g = every.join(g, "module", "left").na.fill(0)
+    state = F.when(F.col("n_far") > 0, "used").when(F.col("n_refs") > 0, "internal").otherwise("unreferenced")
+    return g.select("module", state.alias("state"), "n_users", "n_refs")
 
 
 @query("migration_blockers", f"{W} SELECT d.module, count(*) AS blockers FROM edges e JOIN decls s ON s.decl_id = e.src JOIN decls d ON d.decl_id = e.dst WHERE NOT e.ambiguous AND d.language = 'Java' AND s.language = 'Kotlin' GROUP BY d.module")

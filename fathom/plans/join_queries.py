@@ -92,22 +92,6 @@ def bus_orphans(spark, sf_dir):
     return g.select("k", F.when(F.col("lo") == "signup", "subscribed").otherwise("posted").alias("side"))
 
 
-@query("version_twins", "SELECT a.p_name AS name, b.p_name AS twin, a.n, b.n AS twin_n FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) a JOIN (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) b ON split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) AND split_part(b.p_name, ' ', 1) IN ('red', 'blue') AND a.p_name <> b.p_name")
-def version_twins(spark, sf_dir):
-    """Names that differ from another by one of a few marks, with the counts of both."""
-    n = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    b = n.where(F.split_part("p_name", F.lit(" "), F.lit(1)).isin("red", "blue")).select("stem", F.col("p_name").alias("twin"), F.col("n").alias("twin_n"))
-    return n.join(b, "stem").where("p_name <> twin").select(F.col("p_name").alias("name"), "twin", "n", "twin_n")
-
-
-@query("redundant_public", "SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY l_partkey HAVING count(DISTINCT CASE WHEN l_returnflag = 'R' THEN n_regionkey END) = 1")
-def redundant_public(spark, sf_dir):
-    """Parts whose returns all come from one region."""
-    r = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
-    x = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(r, F.col("l_suppkey") == F.col("s_suppkey"))
-    return x.groupBy("l_partkey").agg(F.min("n_regionkey").alias("a"), F.max("n_regionkey").alias("b")).where("a = b").select("l_partkey")
-
-
 @query("coverage_merge", "SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') AS covered, count(*) AS runs FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def coverage_merge(spark, sf_dir):
     """A line is covered if any run covers it."""

@@ -1,25 +1,23 @@
 """The driver tables seen as code: declarations, references between them, roots.
 
 Customers are types, their orders are members, distinct (order, line number)
-pairs are parameters; a lineitem of a large quantity is a reference from its
-order, and inside ``every_reference`` any lineitem is.  Names come from small
-vocabularies, chosen by key.  The same projection is given as DataFrames and as
-SQL common table expressions.
+pairs are parameters; every lineitem is a reference from its order.  Names come
+from small vocabularies, chosen by key.  The same projection is given as
+DataFrames and as SQL common table expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.plans.memo import memo
 from fathom.plans.registry import table
+from fathom.plans.roots import ROOTS_SQL, find_roots
 
-#: name, kind, visibility, annotations, super types, modifiers
+#: name, kind, visibility, annotations, super types, modifiers; # stands for the number of the type's namesakes before it
 TYPES = [
     ("HomeViewModel", "Class", "Public", "HiltViewModel", "ViewModel", ""),
     ("UserRepository", "Class", "Public", "", "Repository<User>", ""),
@@ -29,22 +27,27 @@ TYPES = [
     ("SyncTask", "Class", "Internal", "", "AsyncTask<Void>", ""),
     ("UserDao", "Interface", "Public", "Dao", "", ""),
     ("ApiConstants", "Class", "Public", "", "", ""),
-    ("BaseScreen", "Class", "Public", "", "View", "abstract"),
+    ("BaseScreen", "Class", "Public", "", "Screen", "abstract"),
     ("Shape", "Interface", "Public", "", "", "sealed"),
     ("Circle", "Class", "Public", "", "Shape", ""),
-    ("FakeClock", "Class", "Public", "", "Clock", ""),
-    ("Clock", "Interface", "Public", "", "", ""),
+    ("SystemClock", "Class", "Public", "", "Clock#", ""),
+    ("Clock#", "Interface", "Public", "", "", ""),
     ("Parser", "Class", "Public", "Deprecated", "", ""),
     ("ParserV2", "Class", "Public", "", "", ""),
-    ("UploadWorker", "Class", "Public", "", "CoroutineWorker", ""),
+    ("UploadWorker", "Class", "Public", "", "CoroutineWorker(ctx)", ""),
     ("UserDto", "Class", "Public", "Serializable", "", "data"),
-    ("NetworkModule", "Object", "Public", "Module", "", ""),
+    ("NetworkModule", "Class", "Public", "Module", "", ""),
     ("Mode", "Enum", "Public", "", "", ""),
     ("WakeLockService", "Class", "Public", "", "Service", ""),
     ("CanvasView", "Class", "Private", "", "View", ""),
     ("DetailActivity", "Class", "Public", "AndroidEntryPoint", "AppCompatActivity", ""),
     ("PrefsDebug", "Class", "Public", "", "", ""),
     ("ImageCache", "Object", "Public", "", "", ""),
+    ("DetailScreen", "Class", "Public", "", "BaseScreen", ""),
+    ("PhotoScreen", "Class", "Public", "", "DetailScreen", ""),
+    ("AlbumScreen", "Class", "Public", "", "PhotoScreen", ""),
+    ("FakeClock#", "Class", "Public", "", "Timer", ""),
+    ("LoginVm", "Class", "Public", "", "AndroidViewModel(app)", ""),
 ]
 #: name, kind, visibility, annotations, modifiers, type
 MEMBERS = [
@@ -66,7 +69,7 @@ MEMBERS = [
     ("acquireWakeLock", "Method", "Public", "", "", ""),
     ("DetailScreen", "Function", "Public", "Composable", "", ""),
     ("LoadingCard", "Function", "Public", "Composable", "", ""),
-    ("provideApi", "Method", "Public", "Provides", "", "Api"),
+    ("provideApi", "Method", "Public", "Provides", "", "ParserV2"),
     ("testLogin", "Method", "Public", "Test", "", ""),
     ("main", "Method", "Public", "", "static", ""),
     ("state", "Field", "Private", "", "var", "Int"),
@@ -81,12 +84,23 @@ MEMBERS = [
     ("runBlockingTest", "Method", "Public", "", "suspend", ""),
     ("loginUseCase", "Property", "Private", "", "val", "LoginUseCase"),
     ("drawable", "Property", "Protected", "", "var", "Drawable"),
+    ("counter", "Property", "Public", "", "var", "Int"),
+    ("mDialog", "Property", "Private", "", "val", ""),
+    ("Companion", "Object", "Public", "", "companion", ""),
+    ("plus", "Method", "Public", "", "operator", ""),
+    ("copy", "Method", "Public", "", "", ""),
+    ("onCreate", "Method", "Protected", "", "", ""),
+    ("legacyHook", "Method", "Public", 'Suppress("unused")', "", ""),
+    ("mockServer", "Method", "Internal", "", "", ""),
+    ("EmptyState", "Method", "Internal", "", "", ""),
+    ("MAX_SIZE", "Property", "Internal", "", "const", "Int"),
+    ("describeContents", "Method", "Public", "", "", ""),
+    ("bindParser", "Method", "Public", "Binds", "", "Absent"),
+    ("provideCache", "Method", "Public", "Provides", "", "PrefsDebug"),
+    ("init", "Constructor", "Private", "", "", ""),
 ]
 PARAMS = ["context", "user", "_unused", "id", "view", "callback", "limit"]
 KINDS = ["Write", "Call", "Read", "Type", "Instantiation", "Read", "Write"]
-#: Reaches of the references kept: lineitems of at least this quantity.
-QUANTITY = 40
-ROOT_ANNOTATIONS = ["Test", "Inject", "HiltViewModel", "Dao", "Insert", "AndroidEntryPoint", "Serializable"]
 
 
 def _q(x: str) -> str:
@@ -108,49 +122,30 @@ types AS (
   SELECT c_custkey * 8 + 1 AS decl_id, 'm' || c_nationkey AS module,
     CASE c_custkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'debug' ELSE 'main' END AS source_set,
     CASE WHEN c_custkey % 3 = 0 THEN 'Java' ELSE 'Kotlin' END AS language, CAST(c_custkey * 8 AS BIGINT) AS line,
-    CAST(200 + (c_custkey * 37) % 1500 AS BIGINT) AS bytes, c_custkey % {len(TYPES)} AS i FROM customer),
+    CAST(200 + (c_custkey * 37) % 1500 AS BIGINT) AS bytes, c_custkey % {len(TYPES)} AS i, CAST(c_custkey // {len(TYPES)} AS VARCHAR) AS nth FROM customer),
 decls AS (
   SELECT decl_id, module || '/src/' || source_set || '/T' || decl_id || CASE language WHEN 'Java' THEN '.java' ELSE '.kt' END AS file,
-    module, source_set, language, line, bytes, name, module || '.' || name || decl_id AS fqn, kind, visibility, anns, supers, mods, '' AS type_name, CAST(NULL AS BIGINT) AS parent_id
+    module, source_set, language, line, bytes, bytes // 40 AS lines, replace(name, '#', nth) AS name, module || '.' || replace(name, '#', nth) || '.' || decl_id AS fqn, kind, visibility, anns, replace(supers, '#', nth) AS supers, mods, '' AS type_name, CAST(NULL AS BIGINT) AS parent_id
   FROM types JOIN tv USING (i)
   UNION ALL
   SELECT o_orderkey * 8 + 2, t.module || '/src/' || t.source_set || '/T' || t.decl_id || CASE t.language WHEN 'Java' THEN '.java' ELSE '.kt' END,
-    t.module, t.source_set, t.language, t.line + 1 + o_orderkey % 400, CAST(60 + CAST(floor(o_totalprice) AS BIGINT) % 700 AS BIGINT), mv.name,
+    t.module, t.source_set, t.language, t.line + 1 + o_orderkey % 400, CAST(60 + CAST(floor(o_totalprice) AS BIGINT) % 700 AS BIGINT), (60 + CAST(floor(o_totalprice) AS BIGINT) % 700) // 40, mv.name,
     t.module || '.T' || t.decl_id || '.' || mv.name, mv.kind, mv.visibility, mv.anns, '', mv.mods, mv.type_name, t.decl_id
   FROM orders JOIN types t ON t.decl_id = o_custkey * 8 + 1 JOIN mv ON mv.i = o_orderkey % {len(MEMBERS)}
   UNION ALL
   SELECT (l_orderkey * 8 + l_linenumber) * 8 + 3, t.module || '/src/' || t.source_set || '/T' || t.decl_id || CASE t.language WHEN 'Java' THEN '.java' ELSE '.kt' END,
-    t.module, t.source_set, t.language, t.line + 1 + o_orderkey % 400, CAST(8 AS BIGINT), pv.name, t.module || '.T' || t.decl_id || '.' || pv.name, 'Parameter', 'Private', '', '', '', '', o_orderkey * 8 + 2
+    t.module, t.source_set, t.language, t.line + 1 + o_orderkey % 400, CAST(8 AS BIGINT), CAST(0 AS BIGINT), pv.name, t.module || '.T' || t.decl_id || '.' || pv.name, 'Parameter', 'Private', '', '', '', '', o_orderkey * 8 + 2
   FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey JOIN types t ON t.decl_id = o_custkey * 8 + 1
-  JOIN mv ON mv.i = o_orderkey % {len(MEMBERS)} AND mv.kind IN ('Method', 'Function') JOIN pv ON pv.i = (l_orderkey + l_linenumber) % {len(PARAMS)}),
+  JOIN mv ON mv.i = o_orderkey % {len(MEMBERS)} AND mv.kind IN ('Method', 'Function', 'Constructor') JOIN pv ON pv.i = (l_orderkey + l_linenumber) % {len(PARAMS)}),
 refs AS (
   SELECT l_orderkey * 8 + 2 AS src, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey * 8 + 1 WHEN l_linenumber % 3 = 1 THEN l_partkey * 32 + 2 ELSE (l_orderkey * 8 + 1 + l_partkey % 6) * 8 + 3 END AS dst,
     kv.kind, l_linestatus = 'F' AS ambiguous
-  FROM lineitem JOIN kv ON kv.i = l_linenumber % {len(KINDS)} WHERE l_quantity >= {QUANTITY}),
+  FROM lineitem JOIN kv ON kv.i = l_linenumber % {len(KINDS)}),
 edges AS (SELECT refs.* FROM refs JOIN decls ON decls.decl_id = dst WHERE src <> dst),
-roots AS (
-  SELECT decl_id, min(reason) AS reason FROM (
-    SELECT decl_id, 'annotation' AS reason FROM decls WHERE {" OR ".join(f"contains(anns, {_q(a)})" for a in ROOT_ANNOTATIONS)}
-    UNION ALL SELECT decl_id, 'main' FROM decls WHERE name = 'main' AND contains(mods, 'static')
-    UNION ALL SELECT decl_id, 'component' FROM decls WHERE contains(supers, 'Activity') OR contains(supers, 'Service')) GROUP BY decl_id)
+{ROOTS_SQL}
 """
 
 
-#: The same over all lineitems.
-WHOLE_SQL = SQL.replace(f" WHERE l_quantity >= {QUANTITY}", "")
-_every: ContextVar[bool] = ContextVar("every", default=False)
-
-
-@contextmanager
-def every_reference() -> Iterator[None]:
-    """What ``project`` gives in here has every lineitem as a reference."""
-    before = _every.set(True)
-    try:
-        yield
-    finally:
-        _every.reset(before)
-
-
 @dataclass
 class Code:
     """Declarations, references and roots."""
@@ -167,14 +162,10 @@ def _pick(rows: list, key: Column, col: int | None = None) -> Column:
 
 
 def project(spark: SparkSession, sf_dir: str) -> Code:
-    """The driver tables as code: all types, members and parameters.
-
-    References are the lineitems of at least ``QUANTITY``, about a fifth of
-    them; inside ``every_reference`` they are all lineitems.
-    """
+    """The driver tables as code: all types, members and parameters, and every lineitem whose target is declared as a reference."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
-    ext = F.when(key % 3 == 0, ".java").otherwise(".kt")
+    nth = F.floor(key / len(TYPES)).cast("string")
     types = c.select(
         (key * 8 + 1).alias("decl_id"),
         F.concat(F.lit("m"), "c_nationkey").alias("module"),
@@ -182,12 +173,12 @@ def project(spark: SparkSession, sf_dir: str) -> Code:
         F.when(key % 3 == 0, "Java").otherwise("Kotlin").alias("language"),
         (key * 8).alias("line"),
         (200 + (key * 37) % 1500).cast("bigint").alias("bytes"),
-        *[_pick(TYPES, key, k).alias(n) for k, n in enumerate(["name", "kind", "visibility", "anns", "supers", "mods"])],
+        *[F.replace(_pick(TYPES, key, k), F.lit("#"), nth).alias(n) for k, n in enumerate(["name", "kind", "visibility", "anns", "supers", "mods"])],
         F.lit("").alias("type_name"),
         F.lit(None).cast("bigint").alias("parent_id"),
         key.alias("owner"),
     )
-    types = types.withColumns({"file": F.concat("module", F.lit("/src/"), "source_set", F.lit("/T"), "decl_id", F.when(F.col("language") == "Java", ".java").otherwise(".kt")), "fqn": F.concat("module", F.lit("."), "name", "decl_id")})
+    types = types.withColumns({"file": F.concat("module", F.lit("/src/"), "source_set", F.lit("/T"), "decl_id", F.when(F.col("language") == "Java", ".java").otherwise(".kt")), "fqn": F.concat("module", F.lit("."), "name", F.lit("."), "decl_id")})
     o = table(spark, sf_dir, "orders")
     where = types.select("owner", F.col("decl_id").alias("parent_id"), "module", "source_set", "language", "file", F.col("line").alias("at"))
     k = F.col("o_orderkey")
@@ -200,34 +191,25 @@ def project(spark: SparkSession, sf_dir: str) -> Code:
     )
     lines = table(spark, sf_dir, "lineitem")
     pairs = lines.select("l_orderkey", "l_linenumber").distinct()
-    params = pairs.join(members.where("kind in ('Method', 'Function')"), F.col("l_orderkey") == F.col("own")).select(
+    params = pairs.join(members.where("kind in ('Method', 'Function', 'Constructor')"), F.col("l_orderkey") == F.col("own")).select(
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 8 + 3).alias("decl_id"), "file", "module", "source_set", "language", "line",
         F.lit(8).cast("bigint").alias("bytes"),
         _pick(PARAMS, F.col("l_orderkey") + F.col("l_linenumber")).alias("name"),
         F.lit("Parameter").alias("kind"), F.lit("Private").alias("visibility"), F.lit("").alias("anns"), F.lit("").alias("mods"), F.lit("").alias("type_name"), F.lit("").alias("supers"),
         F.col("decl_id").alias("parent_id"), "scope",
     )
-    cols = ["decl_id", "file", "module", "source_set", "language", "line", "bytes", "name", "fqn", "kind", "visibility", "anns", "supers", "mods", "type_name", "parent_id"]
+    cols = ["decl_id", "file", "module", "source_set", "language", "line", "bytes", "lines", "name", "fqn", "kind", "visibility", "anns", "supers", "mods", "type_name", "parent_id"]
     fqn = F.concat("scope", F.lit("."), "name")
-    decls = types.select(cols).unionByName(members.withColumn("fqn", fqn).select(cols)).unionByName(params.withColumn("fqn", fqn).select(cols))
+    sized = lambda df: df.withColumn("lines", F.floor(F.col("bytes") / 40))
+    decls_ = sized(types).select(cols).unionByName(sized(members).withColumn("fqn", fqn).select(cols)).unionByName(sized(params).withColumn("fqn", fqn).select(cols))
     n = F.col("l_linenumber")
     dst = (
         F.when(n % 3 == 0, F.col("l_partkey") * 8 + 1)
         .when(n % 3 == 1, F.col("l_partkey") * 32 + 2)
         .otherwise((F.col("l_orderkey") * 8 + 1 + F.col("l_partkey") % 6) * 8 + 3)
     )
-    kept = lines if _every.get() else lines.where(F.col("l_quantity") >= QUANTITY)
-    refs = kept.select((F.col("l_orderkey") * 8 + 2).alias("src"), dst.alias("dst"), _pick(KINDS, n).alias("kind"), (F.col("l_linestatus") == "F").alias("ambiguous"))
-    edges = refs.where("src <> dst").join(decls.select(F.col("decl_id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind", "ambiguous")
-    return Code(decls, edges, find_roots(decls))
-
-
-def find_roots(decls: DataFrame) -> DataFrame:
-    """(decl_id, reason) of entry points: annotations by substring, main, components; the least reason of several."""
-    annotated = F.col("anns").rlike("|".join(ROOT_ANNOTATIONS))
-    reasons = F.array_compact(F.array(
-        F.when(annotated, "annotation"),
-        F.when((F.col("name") == "main") & F.contains("mods", F.lit("static")), "main"),
-        F.when(F.contains("supers", F.lit("Activity")) | F.contains("supers", F.lit("Service")), "component"),
-    ))
-    return decls.withColumn("r", F.array_min(reasons)).where("r is not null").select("decl_id", F.col("r").alias("reason"))
+    refs = lines.select((F.col("l_orderkey") * 8 + 2).alias("src"), dst.alias("dst"), _pick(KINDS, n).alias("kind"), (F.col("l_linestatus") == "F").alias("ambiguous"))
+    decls = memo(spark, sf_dir, "decls", lambda: decls_)
+    edges = memo(spark, sf_dir, "edges", lambda: refs.where("src <> dst").join(decls.select(F.col("decl_id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind", "ambiguous"))
+    roots = memo(spark, sf_dir, "roots", lambda: find_roots(decls, edges))
+    return Code(decls, edges, roots)

@@ -2,13 +2,15 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
 from fathom.operators import graph as G
+from fathom.operators import small
 from fathom.operators.components import connected_components
 
-DECL = "decl_id bigint, parent_id bigint, name string, kind string, supers string, mods string, anns string"
+DECL = "decl_id bigint, parent_id bigint, name string, kind string, supers string, mods string, anns string, language string"
 
 
 def edges(spark, pairs, ambiguous=()):
@@ -16,7 +18,7 @@ def edges(spark, pairs, ambiguous=()):
 
 
 def decls(spark, rows):
-    return spark.createDataFrame([(i, p, f"n{i}", k, "", "", "") for i, p, k in rows], DECL)
+    return spark.createDataFrame([(i, p, f"n{i}", k, "", "", "", "Kotlin") for i, p, k in rows], DECL)
 
 
 def ids(spark, *values):
@@ -104,8 +106,37 @@ def test_why_alive_names_a_nearer_node(spark):
     assert {tuple(r) for r in G.why_alive(ids(spark, 1, 4, 9), ids(spark, 1), e).collect()} == {(1, 0, None), (4, 2, 2)}
 
 
-def test_inheritance_depth_is_bounded_on_cycles(spark):
-    rows = [(1, None, "A", "Class", "B<T>", "", ""), (2, None, "B", "Class", "C", "", ""), (3, None, "C", "Class", "", "", ""), (4, None, "X", "Class", "Y", "", ""), (5, None, "Y", "Class", "X", "", "")]
-    got = {r["node"]: r["depth"] for r in G.inheritance_depth(spark.createDataFrame(rows, DECL)).collect()}
-    assert (got[1], got[2], got[3]) == (2, 1, 0)
-    assert got[4] <= 5 and got[5] <= 5
+def test_inheritance_depth_is_cut_on_cycles(spark):
+    names = [("A", "B<T>"), ("B", "p.C()"), ("C", ""), ("X", "Y"), ("Y", "X"), ("Z", "Y"), *[(f"K{k}", f"K{k + 1}") for k in range(9)]]
+    rows = [(i, None, n, "Class", s, "", "", "Kotlin") for i, (n, s) in enumerate(names)]
+    got = {names[r["node"]][0]: r["depth"] for r in G.inheritance_depth(spark.createDataFrame(rows, DECL), most=6).collect()}
+    assert (got["A"], got["B"], got["C"]) == (2, 1, 0) and (got["X"], got["Y"], got["Z"]) == (6, 6, 6) and (got["K0"], got["K4"]) == (6, 4)
+
+
+def test_cycles_that_count_as_dead(spark):
+    e = edges(spark, [(1, 2), (2, 1), (3, 4), (4, 3), (9, 3), (5, 6), (6, 5), (7, 8), (8, 7)])
+    kinds = spark.createDataFrame([(i, i not in (7, 8)) for i in range(1, 10)], "node bigint, matters boolean")
+    assert {tuple(r) for r in G.dead_cycles(e, ids(spark, 5), kinds).collect()} == {(2, 2)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_task_and_many_agree(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    pairs = [(rng.choice("abcdefghijklmnop"), rng.choice("abcdefghijklmnop")) for _ in range(14)]
+    e = spark.createDataFrame(pairs + [(None, "a")], "src string, dst string")
+    s, avoid = spark.createDataFrame([("a",), ("b",), ("zz",), (None,)], "node string"), spark.createDataFrame([("c",), ("b",)], "node string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for few in (None, 0):
+        monkeypatch.setattr("fathom.operators.small.ROWS", 2_000_000 if few is None else 0)
+        found = rows(G.reach(s, e)), rows(G.reach(s, e, avoid=avoid)), rows(G.strong_components(e.where("src is not null"))), rows(connected_components(e)), G.reach(s.limit(0), e).count(), connected_components(e.limit(0)).count()
+        if few is None:
+            first = found
+    assert first == found
+
+
+def test_large_components_in_one_task():
+    n = 50_000
+    path = pa.table({"u": list(range(1, n)), "v": list(range(n - 1))})
+    assert set(small.components(path)["component"].to_pylist()) == {0}
+    ring = pa.table({"src": list(range(n)), "dst": [*range(1, n), 0]})
+    assert set(small.strong(ring)["component"].to_pylist()) == {n - 1}
