@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,44 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(4)
+def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens joined, where each begins, and its length; -1 where no token has the number."""
+    enc = encoding(path)
+    size = np.full(enc.max_token_value + 1, -1, np.int64)
+    words = [b""] * len(size)
+    for token in enc.token_byte_values():
+        k = enc.encode_single_token(token)
+        words[k], size[k] = token, len(token)
+    start = np.concatenate([[0], np.cumsum(np.maximum(size, 0))[:-1]])
+    return np.frombuffer(b"".join(words), np.uint8), start, size
+
+
+def decode_lists(lists: pa.ListArray, path: str) -> Iterator[pa.Array]:
+    """The joined bytes of each list of tokens, some megabytes at a time; null for a null list."""
+    data, start, size = _table(path)
+    length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(length)])
+    flat = lists.flatten()
+    if flat.null_count:
+        raise ValueError("a token is null")
+    ids = flat.to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or (size[ids] < 0).any()):
+        raise ValueError("a token isn't in the vocabulary")
+    i = 0
+    while i < len(length):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + OUT_BYTES // 4, "right")) - 1)
+        own = ids[at[i] : at[j]]
+        n = size[own]
+        cut = np.concatenate([[0], np.cumsum(n)])
+        body = data[np.repeat(start[own] - cut[:-1], n) + np.arange(cut[-1])]
+        offsets = cut[at[i : j + 1] - at[i]]
+        out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(body)]).cast(pa.binary())
+        part = lists.slice(i, j - i)
+        yield pc.if_else(part.is_valid(), out, pa.scalar(None, pa.binary())) if part.null_count else out
+        i = j
+
+
 def encode_piece(enc: tiktoken.Encoding, text: str) -> list[int]:
     """Tokens of a text; special tokens' strings are ordinary text."""
     run = _LONG_RUN.search(text) if len(text) >= 4096 else None
@@ -155,7 +194,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ch
     """``docs`` with its text replaced by ``tokens`` (array<int>), as the last column; all other columns are kept.
 
     With ``verify`` a column ``round_trip`` follows: whether the row's final
-    tokens, decoded by ``decode``, are the bytes of the whole text.  A null text
+    tokens, decoded as in ``decode``, are the bytes of the whole text.  A null text
     has null tokens, an empty one none; repeated rows are encoded each; an empty
     table gives an empty one; columns called ``tokens``, or ``round_trip`` with
     ``verify``, are replaced.  The result equals encoding each text at once, for
@@ -182,11 +221,32 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ch
     both = out.unionByName(whole)
     tail = ["tokens"]
     if verify:
-        both = decode(both, vocabulary=vocabulary, as_bytes=True).withColumn("round_trip", F.col("text") == F.col(f"c{t}").cast("binary"))
+        schema = T.StructType([*[f for f in both.schema if f.name != f"c{t}"], T.StructField("round_trip", T.BooleanType())])
+        both = both.mapInArrow(_trips(both.columns.index(f"c{t}"), vocabulary), schema)
         tail.append("round_trip")
     return both.select(*[F.col(f"c{k}").alias(names[k]) for k in others], *tail)
 
 
+def _trips(text_at: int, path: str):
+    """Rows (tokens, ..., text, ...) to the same without the text, and whether the decoded tokens are its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [pc.equal(x, t) for x, t in _beside(decode_lists(b.column(0), path), b.column(text_at))]
+            same = pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+            stay = [k for k in range(b.num_columns) if k != text_at]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in stay], same], [*[b.schema.names[k] for k in stay], "round_trip"])
+
+    return run
+
+
+def _beside(parts: Iterator[pa.Array], texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    at = 0
+    for x in parts:
+        yield x, texts.slice(at, len(x)).cast(pa.binary())
+        at += len(x)
+
+
 def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY, as_bytes: bool = False) -> DataFrame:
     """``coded`` with a last column ``text``: the tokens' bytes joined and read as UTF-8, or left as they are with ``as_bytes``.
 
@@ -200,13 +260,14 @@ def decode(coded: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULAR
     at = names.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
         for b in batches:
-            lists = b.column(at)
-            text = [None if x.as_py() is None else enc.decode_bytes(x.as_py()) for x in lists]
-            if not as_bytes:
-                text = [None if x is None else x.decode("utf-8", "replace") for x in text]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary() if as_bytes else pa.string())], [*b.schema.names, "text"])
+            i = 0
+            for x in decode_lists(b.column(at), vocabulary):
+                rows = b.slice(i, len(x))
+                i += len(x)
+                if not as_bytes:
+                    x = pa.array([None if v is None else v.decode("utf-8", "replace") for v in x.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns, x], [*b.schema.names, "text"])
 
     schema = T.StructType([*raw.schema, T.StructField("text", T.BinaryType() if as_bytes else T.StringType())])
     return raw.mapInArrow(run, schema).toDF(*names, "text")

@@ -264,6 +264,29 @@ def test_bpe_any_chunking_equals_one_pass_and_round_trips(spark):
     assert encode(docs(spark, [])).count() == 0
 
 
+def test_texts_beyond_the_default_chunk_and_clashing_names(spark):
+    rng = random.Random(14)
+    texts = [words(rng, 40_000), "a" * 1_000_000, "日本語。" * 60_000, " " * 150_000 + "x", ("é\n" * 70_000) + "'ll"]
+    rows = [(i, t, "old", True, i) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, tokens string, round_trip boolean, `a.b` int")
+    coded = encode(d, verify=True)
+    assert coded.columns == ["doc_id", "a.b", "tokens", "round_trip"]
+    enc = encoding(VOCABULARY)
+    got = {r["doc_id"]: r for r in coded.collect()}
+    assert all(got[i]["round_trip"] for i in got) and all(got[i]["tokens"] == enc.encode_ordinary(t) for i, t in enumerate(texts) if i not in (1, 3))
+    back = decode(encode(d).withColumn("text", F.lit("stale")))
+    assert back.columns == ["doc_id", "round_trip", "a.b", "tokens", "text"]
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_unknown_and_null_tokens_raise(spark):
+    for bad in ([10**8], [-1], [None]):
+        with pytest.raises(Exception, match="token"):
+            decode(spark.createDataFrame([(bad,)], "tokens array<int>")).collect()
+    cut = decode(spark.createDataFrame([(encoding(VOCABULARY).encode_ordinary("日")[:1],), ([],), (None,)], "tokens array<int>")).collect()
+    assert "\ufffd" in cut[0]["text"] and cut[1]["text"] == "" and cut[2]["text"] is None
+
+
 def test_pieces_join_to_the_text(spark):
     t = words(random.Random(7), 300)
     rows = pieces(spark.createDataFrame([(1, t)], "row bigint, text string"), 64, 16).orderBy("piece").collect()
