@@ -1,6 +1,6 @@
 """Registered queries: every operator on the driver tables, with its SQL."""
 
-from fathom.plans import findings, graph_queries, join_queries, root_queries, rule_queries, text_queries  # noqa: F401
+from fathom.plans import findings, graph_queries, join_queries, line_queries, root_queries, rule_queries, text_queries  # noqa: F401
 from fathom.plans.registry import ORACLES, QUERIES, Query
 
 

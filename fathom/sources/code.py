@@ -1,30 +1,46 @@
-"""Declarations and identifier references out of Kotlin and Java text.
+"""Declarations, references and imports out of Kotlin and Java text.
 
 A tokenizer, not a grammar: comments and string contents are blanked, keywords
 open declarations, braces give their extent, every other identifier is a
-reference whose kind follows from its neighbours.
+reference whose kind follows from its neighbours.  A file is parsed once; its
+declarations, references and imports are rows of one table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DECLS = "decl_id bigint, file string, begin int, end int, name string, fqn string, kind string, visibility string, line int, parent_id bigint, anns string, supers string, mods string, language string"
-REFS = "file string, ref_id bigint, at int, name string, kind string"
+from fathom.functions.scratch import stash
+
+DECLS = "decl_id bigint, file string, module string, source_set string, begin int, end int, name string, fqn string, kind string, visibility string, line bigint, bytes bigint, lines bigint, parent_id bigint, anns string, supers string, mods string, type_name string, language string"
+REFS = "file string, ref_id bigint, at int, name string, qualified string, kind string"
+IMPORTS = "file string, ord int, path string"
+_ALL = "what string, decl_id bigint, file string, module string, source_set string, begin int, end int, name string, fqn string, kind string, visibility string, line bigint, bytes bigint, lines bigint, parent_id bigint, anns string, supers string, mods string, type_name string, language string, qualified string"
+_NAMES = [c.split()[0] for c in _ALL.split(", ")]
+_NUMBERS = {c.split()[0] for c in _ALL.split(", ") if c.split()[1] in ("int", "bigint")}
 
 _BLANK = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:.*?)"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.S)
 _MODS = r"(?:public|private|protected|internal|abstract|open|final|sealed|data|static|override|suspend|inline|operator|lateinit|const|companion|enum|annotation|value|inner|synchronized|volatile|transient|default|native|external|tailrec|infix)"
-_HEAD = rf"(?P<anns>(?:@[\w.]+(?:\([^()]*\))?\s*)*)(?P<mods>(?:{_MODS}\s+)*)"
-_KOTLIN = re.compile(_HEAD + r"(?P<kw>class|interface|object|fun|val|var|typealias)\b(?:[ \t]+<[^>{}]*>)?(?:[ \t]+(?:[A-Z]\w*(?:<[^>]*>)?\.)?(?P<name>\w+))?")
-_JAVA_TYPE = re.compile(_HEAD + r"(?P<kw>class|interface|enum)[ \t]+(?P<name>\w+)")
+_HEAD = rf"(?P<anns>(?:@(?:get:|set:|field:|file:)?[\w.]+(?:\([^()]*\))?\s*)*)(?P<mods>(?:{_MODS}\s+)*)"
+_KOTLIN = re.compile(_HEAD + r"(?P<kw>class|interface|object|fun|val|var|typealias|constructor)\b(?:[ \t]+<[^>{}]*>)?(?:[ \t]+(?:[A-Z]\w*(?:<[^>]*>)?\.)?(?P<name>\w+))?")
+_JAVA_TYPE = re.compile(_HEAD + r"(?P<kw>class|interface|enum|record)[ \t]+(?P<name>\w+)")
 _JAVA_MEMBER = re.compile(_HEAD + r"(?:<[^>]*>\s*)?(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}]*>)?(?:\[\])*)\s+(?P<name>\w+)\s*(?P<next>[(;=])")
+_JAVA_MADE = re.compile(_HEAD + r"(?P<name>[A-Z]\w*)\s*(?P<next>\()")
 _WORD = re.compile(r"[A-Za-z_]\w*")
-_KEYWORDS = set("class interface object fun val var typealias if else while for do when return import package in is as this super null true false try catch finally throw new int long boolean void char byte short float double extends implements throws instanceof switch case break continue by get set where constructor init out it".split()) | set(re.findall(r"\w+", _MODS))
+_CHAIN = re.compile(r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*")
+_MARK = re.compile(r"@(?:\w+:)?$")
+_AFTER = re.compile(r"\s*(\(|\{|<[\w<>?, .]*>\s*\(|(?:[-+*/]=|=(?!=)))?")
+_BRACES = re.compile(r"[{}]")
+_IMPORT = re.compile(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.*]+(?:[ \t]+as[ \t]+\w+)?)", re.M)
+_PRIMITIVES = {"int", "long", "boolean", "void", "char", "byte", "short", "float", "double"}
+_KEYWORDS = set("class interface object fun val var typealias if else while for do when return import package in is as this super null true false try catch finally throw new extends implements throws instanceof switch case break continue by get set where constructor init out it record".split()) | _PRIMITIVES | set(re.findall(r"\w+", _MODS))
+TYPES = ("Class", "Interface", "Object", "Enum", "Annotation")
 
 
 def blank(text: str) -> str:
@@ -35,10 +51,10 @@ def blank(text: str) -> str:
 def _close(text: str, at: int) -> int:
     """The place after the brace that closes the one at ``at``."""
     deep = 0
-    for m in re.finditer(r"[{}]", text[at:]):
+    for m in _BRACES.finditer(text, at):
         deep += 1 if m.group() == "{" else -1
         if deep == 0:
-            return at + m.end()
+            return m.end()
     return len(text)
 
 
@@ -61,67 +77,132 @@ def _line_end(text: str, at: int) -> int:
     return k
 
 
-def parse(text: str, java: bool) -> tuple[list[dict], list[tuple[int, str, str]]]:
-    """Declarations (with the index of their parent) and (offset, name, kind) of references."""
+def _split(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts between commas outside of any brackets."""
+    deep, last = 0, begin
+    for k in range(begin, end):
+        ch = text[k]
+        deep += (ch in "({[<") - (ch in ")}]>" and text[k - 1 : k + 1] != "->")
+        if ch == "," and deep == 0:
+            yield last, k
+            last = k + 1
+    if text[last:end].strip():
+        yield last, end
+
+
+@dataclass
+class Parsed:
+    """What a file has: declarations with the index of their parent, references (offset, name, qualified name, kind), imports."""
+
+    decls: list[dict]
+    refs: list[tuple[int, str, str | None, str]]
+    imports: list[str]
+
+
+def parse(text: str, java: bool) -> Parsed:
+    """Declarations, references and imports of one file."""
     code = blank(text)
     found: list[dict] = []
     taken: set[int] = set()
+    clauses: list[tuple[int, int]] = []
 
-    def add(m: re.Match, kind: str, end: int, supers: str = "") -> None:
-        mods, anns = m["mods"].split(), " ".join(re.findall(r"@([\w.]+)", m["anns"]))
+    def add(m: re.Match, kind: str, end: int, supers: str = "", type_name: str = "", extra: str = "") -> None:
+        mods = m["mods"].split() + ([extra] if extra else [])
+        where = text[m.start("anns") : m.end("anns")]
+        anns = " ".join(a + (args.replace(" ", "") if "Suppress" in a else "") for a, args in re.findall(r"@(?:\w+:)?([\w.]+)(\([^()]*\))?", where))
         default = "PackagePrivate" if java else "Public"
         vis = next((x.capitalize() for x in mods if x in ("public", "private", "protected", "internal")), default)
-        found.append({"begin": m.start(), "end": end, "name": m["name"] or "Companion", "kind": kind, "visibility": vis, "anns": anns, "supers": supers, "mods": " ".join(mods)})
+        begin = m.start() + len(m.group()) - len(m.group().lstrip())
+        found.append({"begin": begin, "end": end, "name": m["name"] or ("Companion" if kind == "Object" else "constructor"), "kind": kind, "visibility": vis, "anns": anns, "supers": supers, "mods": " ".join(mods), "type": type_name})
         if m["name"]:
             taken.add(m.start("name"))
 
     def params(at: int, stop: int) -> None:
-        for m in re.finditer(r"(?:^|[(,])\s*(?:@\w+\s*)*(?:(?:vararg|final)\s+)?(?:" + (r"[\w.<>\[\]]+\s+(\w+)" if java else r"(\w+)\s*:") + ")", code[at:stop]):
-            b = at + m.start(1)
-            found.append({"begin": b, "end": b + len(m[1]), "name": m[1], "kind": "Parameter", "visibility": "Private", "anns": "", "supers": "", "mods": ""})
-            taken.add(b)
+        """Parameters between the parentheses at ``at``; those with val or var are properties."""
+        for b, e in _split(code, at + 1, stop - 1):
+            part = code[b:e]
+            m = re.match(r"\s*(?:@[\w.]+(?:\([^()]*\))?\s*)*(?:(?:final|vararg|private|protected|internal|public|override|noinline|crossinline)\s+)*" + (r"[\w.<>\[\]?, ]+?[\s.]+(\w+)\s*$" if java else r"(?:(val|var)\s+)?(\w+)\s*:\s*([\w.<>?, ]+)"), part)
+            if m is None:
+                continue
+            n = 1 if java else 2
+            own = b + m.start(n)
+            prop = None if java else m[1]
+            private = re.search(r"\bprivate\b", part[: m.start(n)])
+            vis = "Private" if private or not prop else "Public"
+            found.append({"begin": own, "end": own + len(m[n]), "name": m[n], "kind": "Property" if prop else "Parameter", "visibility": vis, "anns": " ".join(re.findall(r"@(?:\w+:)?([\w.]+)", part)), "supers": "", "mods": prop or "", "type": "" if java else m[3].strip()})
+            taken.add(own)
+
+    def cases(brace: int, end: int) -> None:
+        body_end = end - 1
+        semi = code.find(";", brace, body_end)
+        for b, e in _split(code, brace + 1, semi if semi >= 0 else body_end):
+            m = re.match(r"\s*(?:@\w+(?:\([^()]*\))?\s*)*([A-Z]\w*)\b(?!\s*:)", code[b:e])
+            if m:
+                own = b + m.start(1)
+                found.append({"begin": own, "end": max(own + len(m[1]), b + len(code[b:e].rstrip())), "name": m[1], "kind": "EnumCase", "visibility": "Public", "anns": " ".join(re.findall(r"@([\w.]+)", code[b : own])), "supers": "", "mods": "", "type": ""})
+                taken.add(own)
 
     for m in (_JAVA_TYPE if java else _KOTLIN).finditer(code):
         kw = m["kw"]
-        if m["name"] is None and kw != "object":
+        if m["name"] is None and kw not in ("object", "constructor") or m["name"] and m.start("name") in taken:
             continue
         at = m.end()
-        if kw in ("class", "interface", "object", "enum"):
-            if not java and at < len(code) and code[at] == "(":
-                at = _past(code, at)
-            head = re.match(r"[^{;\n]*", code[at:]).group()
+        if kw in ("class", "interface", "object", "enum", "record"):
+            skip = re.compile(r"\s*(?:<[^{}()]*?>)?\s*(?:(?:private|internal|protected|public|@\w+)\s+)*(?:constructor\s*)?").match(code, at)
+            paren = skip.end() if skip else at
+            if paren < len(code) and code[paren] == "(" and kw != "object" and (not java or kw == "record"):
+                stop = _past(code, paren)
+                params(paren, stop)
+                at = stop
+            head = re.compile(r"[^{;\n]*(?:\n[ \t]*(?:extends|implements|:|,)[^{;\n]*)*").match(code, at).group()
             brace = at + len(head)
-            names = re.findall(r"[A-Z][\w.]*(?:<[^{}>]*>)?", head)
-            kind = {"class": "Class", "interface": "Interface", "object": "Object", "enum": "Enum"}[kw]
-            kind = "Enum" if "enum" in m["mods"].split() else kind
+            clauses.append((at, brace))
+            clause = head.split(":", 1)[-1] if not java and ":" in head else re.sub(r"^.*?\b(?:extends|implements)\b", "", head, count=1) if java and re.search(r"\b(extends|implements)\b", head) else ""
+            names = [re.sub(r"\s+", "", n) for n in re.findall(r"[A-Za-z_][\w.]*(?:<[^{}()]*>)?(?:\([^()]*\))?", clause) if n not in ("by", "extends", "implements", "where", "permits")]
+            names = [n for n in names if re.split(r"[.<(]", n)[-1 if "." in n and "<" not in n and "(" not in n else 0]]
+            kind = {"class": "Class", "interface": "Interface", "object": "Object", "enum": "Enum", "record": "Class"}[kw]
+            kind = "Enum" if "enum" in m["mods"].split() else "Annotation" if "annotation" in m["mods"].split() else kind
             end = _close(code, brace) if brace < len(code) and code[brace] == "{" else brace
             add(m, kind, end, " ".join(names))
-        elif kw == "fun":
+            if kind == "Enum" and end > brace:
+                cases(brace, end)
+        elif kw in ("fun", "constructor"):
             paren = code.find("(", at)
             stop = _past(code, paren) if paren >= 0 else at
-            body = re.match(r"[^{=\n]*", code[stop:]).group()
+            body = re.compile(r"[^{=\n]*").match(code, stop).group()
             k = stop + len(body)
             end = _close(code, k) if k < len(code) and code[k] == "{" else _line_end(code, k)
-            add(m, "Function", end)
+            kind = "Constructor" if kw == "constructor" else "Function"
+            made = re.match(r"\s*:\s*([\w.<>?]+)", body)
+            add(m, kind, end, "", made[1] if made and kw == "fun" else "")
             if paren >= 0:
                 params(paren, stop)
         else:
-            add(m, "TypeAlias" if kw == "typealias" else "Property", _line_end(code, at))
+            typed = re.compile(r"\s*:\s*([\w.<>?, ]+?)\s*(?:=|\n|\{|by\b|$)").match(code, at)
+            add(m, "TypeAlias" if kw == "typealias" else "Property", _line_end(code, at), "", typed[1] if typed else "", kw if kw in ("val", "var") else "")
     if java:
+        types = {d["name"] for d in found}
         for m in _JAVA_MEMBER.finditer(code):
-            if m["type"] in _KEYWORDS - {"int", "long", "boolean", "void", "char", "byte", "short", "float", "double"} or m["name"] in _KEYWORDS:
+            if m["type"] in _KEYWORDS - _PRIMITIVES or m["name"] in _KEYWORDS:
                 continue
             if m["next"] == "(":
                 stop = _past(code, m.end() - 1)
-                k = stop + len(re.match(r"[^{;]*", code[stop:]).group())
+                k = stop + len(re.compile(r"[^{;]*").match(code, stop).group())
                 end = _close(code, k) if k < len(code) and code[k] == "{" else k
-                add(m, "Method", end)
+                add(m, "Method", end, "", m["type"])
                 params(m.end() - 1, stop)
             else:
-                add(m, "Field", code.find(";", m.start("name")) + 1 or len(code))
+                add(m, "Field", code.find(";", m.start("name")) + 1 or len(code), "", m["type"])
+        for m in _JAVA_MADE.finditer(code):
+            before = code[: m.start()].rstrip()[-4:]
+            stop = _past(code, m.end() - 1)
+            opens = re.compile(r"\s*(?:throws[^{;]*)?\{").match(code, stop)
+            if m["name"] in types and opens and m.start("name") not in taken and not before.endswith(("new", ".", "=")):
+                add(m, "Constructor", _close(code, opens.end() - 1))
+                params(m.end() - 1, stop)
     found.sort(key=lambda d: (d["begin"], -d["end"]))
     stack: list[int] = []
-    kept = []
+    kept: list[dict] = []
     for d in found:
         while stack and kept[stack[-1]]["end"] < d["end"]:
             stack.pop()
@@ -129,35 +210,40 @@ def parse(text: str, java: bool) -> tuple[list[dict], list[tuple[int, str, str]]
             stack.pop()
         d["parent"] = stack[-1] if stack else None
         up = kept[stack[-1]]["kind"] if stack else None
-        if d["kind"] in ("Property", "Field") and up in ("Function", "Method"):
+        if d["kind"] in ("Property", "Field") and up in ("Function", "Method", "Constructor") or d["kind"] == "Constructor" and up not in TYPES:
             continue  # a local
-        if d["kind"] == "Function" and up in ("Class", "Interface", "Object", "Enum"):
+        if d["kind"] == "Function" and up in TYPES:
             d["kind"] = "Method"
         kept.append(d)
         stack.append(len(kept) - 1)
-    refs = []
-    lines = {m.start(): m.end() for m in re.finditer(r"^\s*(?:import|package)\b[^\n]*", code, re.M)}
-    spans = sorted(lines.items())
-    for m in _WORD.finditer(code):
-        if m.group() in _KEYWORDS or m.start() in taken or any(a <= m.start() < b for a, b in spans) or code[m.start() - 1 : m.start()] == "@":
+    imports = [m[1] for m in _IMPORT.finditer(code)]
+    spans = [(m.start(), m.end()) for m in re.finditer(r"^[ \t]*(?:import|package)\b[^\n]*", code, re.M)]
+    first_body = max((e for _, e in spans), default=0)
+    refs: list[tuple[int, str, str | None, str]] = []
+    for chain in _CHAIN.finditer(code):
+        if chain.start() < first_body and any(a <= chain.start() < b for a, b in spans):
             continue
-        after, before = code[m.end() : m.end() + 40].lstrip(), code[: m.start()][-40:].rstrip()
-        if after.startswith("("):
-            kind = "Instantiation" if m.group()[0].isupper() else "Call"
-        elif re.match(r"=[^=]|[-+*/]=", after):
-            kind = "Write"
-        else:
-            kind = "Type" if before.endswith((":", "new", "extends", "implements", "<")) else "Read"
-        refs.append((m.start(), m.group(), kind))
-    return kept, refs
-
-
-def read_files(spark: SparkSession, path: str, glob: str = "*.{kt,java}") -> DataFrame:
-    """(file, content, language, is_test) of source files; generated ones are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    f = raw.select(F.regexp_replace("path", "^file:", "").alias("file"), F.decode("content", "UTF-8").alias("content"))
-    f = f.where(~F.substring("content", 1, 400).rlike("(?i)generated by|do not (edit|modify)"))
-    return f.withColumns({"language": F.when(F.col("file").endswith(".java"), "Java").otherwise("Kotlin"), "is_test": F.col("file").rlike("/src/(test|androidTest)/")})
+        path: list[str] = []
+        for m in _WORD.finditer(code, chain.start(), chain.end()):
+            path.append(m.group())
+            if m.group() in _KEYWORDS or m.start() in taken or _MARK.search(code[max(0, m.start() - 9) : m.start()]):
+                continue
+            after = _AFTER.match(code, m.end())[1] or ""
+            k = m.start() - 1
+            while k >= 0 and code[k] in " \t\n":
+                k -= 1
+            before = code[k] if k >= 0 else ""
+            word = re.search(r"\w*$", code[max(0, k - 10) : k + 1])[0]
+            if any(a <= m.start() < b for a, b in clauses):
+                kind = "Inheritance"
+            elif after.endswith("("):
+                kind = "Instantiation" if m.group()[0].isupper() else "Call"
+            elif before in (":", "<") or word in ("new", "is", "as"):
+                kind = "Type"
+            else:
+                kind = "Write" if after.endswith("=") and m.end() == chain.end() else "Read"
+            refs.append((m.start(), m.group(), ".".join(path) if len(path) > 1 else None, kind))
+    return Parsed(kept, refs, imports)
 
 
 def _surrogate(file: str, begin: int, end: int) -> int:
@@ -166,34 +252,43 @@ def _surrogate(file: str, begin: int, end: int) -> int:
     return xxhash.xxh64_intdigest(f"{file}:{begin}:{end}") - (1 << 63)
 
 
-def extract_decls(files: DataFrame) -> DataFrame:
-    """One row a declaration of every file; null contents count as empty."""
+@dataclass
+class Extracted:
+    """Declarations, references and imports of files; all read one stash."""
+
+    decls: DataFrame
+    refs: DataFrame
+    imports: DataFrame
+
+
+def extract(files: DataFrame) -> Extracted:
+    """What the files (file, content, language, module, source_set) have; null contents count as empty."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for file, text, lang in zip(pdf["file"], pdf["content"], pdf["language"]):
+            for file, text, lang, module, sset in zip(pdf["file"], pdf["content"], pdf["language"], pdf["module"], pdf["source_set"]):
                 text = text or ""
                 package = re.search(r"^\s*package\s+([\w.]+)", text, re.M)
-                kept, _ = parse(text, lang == "Java")
+                p = parse(text, lang == "Java")
                 fqn: list[str] = []
-                for d in kept:
+                for d in p.decls:
                     top = (package[1] + ".") if package else ""
                     fqn.append((fqn[d["parent"]] + "." if d["parent"] is not None else top) + d["name"])
-                    up = kept[d["parent"]] if d["parent"] is not None else None
-                    out.append((_surrogate(file, d["begin"], d["end"]), file, d["begin"], d["end"], d["name"], fqn[-1], d["kind"], d["visibility"], text.count("\n", 0, d["begin"]) + 1, _surrogate(file, up["begin"], up["end"]) if up else None, d["anns"], d["supers"], d["mods"], lang))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in DECLS.split(", ")])
-            yield frame.astype({"parent_id": "Int64"})
-
-    return files.select("file", "content", "language").mapInPandas(run, DECLS)
-
-
-def extract_refs(files: DataFrame) -> DataFrame:
-    """One row an identifier that isn't a declaration's own name."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = [(f, _surrogate(f, at, -1), at, n, k) for f, t, lang in zip(pdf["file"], pdf["content"], pdf["language"]) for at, n, k in parse(t or "", lang == "Java")[1]]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REFS.split(", ")])
-
-    return files.select("file", "content", "language").mapInPandas(run, REFS)
+                    up = p.decls[d["parent"]] if d["parent"] is not None else None
+                    body = text[d["begin"] : d["end"]]
+                    out.append(("d", _surrogate(file, d["begin"], d["end"]), file, module, sset, d["begin"], d["end"], d["name"], fqn[-1], d["kind"], d["visibility"], text.count("\n", 0, d["begin"]) + 1, len(body.encode()), body.count("\n") + 1,
+                                _surrogate(file, up["begin"], up["end"]) if up else None, d["anns"], d["supers"], d["mods"], d["type"], lang, None))
+                for at, name, qualified, kind in p.refs:
+                    out.append(("r", _surrogate(file, at, -1), file, None, None, at, None, name, None, kind, None, None, None, None, None, None, None, None, None, None, qualified))
+                for k, path in enumerate(p.imports):
+                    out.append(("i", None, file, None, None, k, None, path, None, None, None, None, None, None, None, None, None, None, None, None, None))
+            # numbers never pass through floats, which would round identifiers
+            columns = zip(_NAMES, zip(*out)) if out else ((n, ()) for n in _NAMES)
+            yield pd.DataFrame({n: pd.array(list(c), "Int64") if n in _NUMBERS else pd.Series(list(c), dtype=object) for n, c in columns})
+
+    x = stash(files.where("ext in ('kt', 'java')").select("file", "content", "language", "module", "source_set").mapInPandas(run, _ALL))
+    pick = lambda what, schema: x.where(F.col("what") == what).select(*[c.split()[0] for c in schema.split(", ")])
+    refs = x.where("what = 'r'").select("file", F.col("decl_id").alias("ref_id"), F.col("begin").alias("at"), "name", "qualified", "kind")
+    imports = x.where("what = 'i'").select("file", F.col("begin").alias("ord"), F.col("name").alias("path"))
+    return Extracted(pick("d", DECLS), refs, imports)
