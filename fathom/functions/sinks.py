@@ -111,6 +111,19 @@ def web_page(findings: DataFrame, title: str = "Findings") -> str:
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><thead><tr>{head}</tr></thead><tbody>{rows}</tbody></table>"
 
 
+def summary_text(findings: DataFrame) -> str:
+    """Counts by rule, most first, for the description of a change."""
+    n = findings.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "code").collect()
+    return "\n".join([f"{sum(r['n'] for r in n)} findings", "", "| rule | findings |", "|-|-|", *[f"| {r['code']} | {r['n']} |" for r in n]])
+
+
+def badge(findings: DataFrame) -> str:
+    """What a badge service asks for: a label, the number of findings, a colour."""
+    n = findings.count()
+    colour = "brightgreen" if n == 0 else "yellow" if n < 50 else "orange"
+    return json.dumps({"schemaVersion": 1, "label": "dead code", "message": str(n), "color": colour})
+
+
 def removal_patch(findings: DataFrame, files: DataFrame) -> str:
     """A unified diff that removes whole lines of the findings' declarations (file, begin line ``line``, ``lines`` of them); ``files`` is (file, content).
 

@@ -187,6 +187,27 @@ def why_alive(targets: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFra
     return step.groupBy("node", "hop").agg(F.min("p").alias("pred"))
 
 
+def alive_path(targets: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, path) of the targets that roots reach: a shortest path from a root, of several the least node at each step back."""
+    found = reach(roots, edges)
+    near = found.select(F.col("node").alias("src"), F.col("hop").alias("before"))
+    step = edges.select("src", F.col("dst").alias("at")).distinct().join(near, "src").join(found.select(F.col("node").alias("at"), "hop"), "at").where("before = hop - 1")
+    back = stash(step.groupBy("at").agg(F.min("src").alias("pred")))
+    open_ = found.join(targets.select(F.col(targets.columns[0]).alias("node")).distinct(), "node", "left_semi")
+    open_ = open_.select("node", F.col("node").alias("at"), "hop", F.array("node").alias("path"))
+    out, stashes = open_.where("hop = 0").select("node", "path"), [back]
+    open_ = open_.where("hop > 0")
+    while not open_.isEmpty():
+        level = stash(open_.join(back, "at").select("node", F.col("pred").alias("at"), (F.col("hop") - 1).alias("hop"), F.array_prepend("path", F.col("pred")).alias("path")))
+        stashes.append(level)
+        out = out.unionByName(level.where("hop = 0").select("node", "path"))
+        open_ = level.where("hop > 0")
+    got = stash(out)
+    for x in stashes:
+        drop(x)
+    return got
+
+
 def depth(nodes: DataFrame, parent: str = "parent_id", node: str = "decl_id") -> DataFrame:
     """(node, depth) of a forest: 0 at the top.  Nodes on a cycle of parents have none."""
     top = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("node"))

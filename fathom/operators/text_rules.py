@@ -34,6 +34,12 @@ def words_of(lines: DataFrame, *keep: str) -> DataFrame:
     return lines.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("word")).distinct()
 
 
+def only_here(named: DataFrame, lines: DataFrame) -> DataFrame:
+    """``named`` (file, name, ...) whose name is a word of no other code file."""
+    n = words_of(code(lines), "file").groupBy(F.col("word").alias("name")).agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
+    return named.join(n, "name", "left").where("lo is null or lo = hi and lo = file").drop("lo", "hi")
+
+
 # --- imports ---
 
 
@@ -217,7 +223,7 @@ def duplicate_strings(lines: DataFrame) -> DataFrame:
 def dead_layouts(layouts: DataFrame, lines: DataFrame) -> DataFrame:
     """(file) of ``layouts`` (file) that no binding class, inflation or inclusion names."""
     x = layouts.select("file", F.regexp_extract("file", r"([^/]+)\.xml$", 1).alias("stem"))
-    parts = F.transform(F.split("stem", "[_-]"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000)))
+    parts = F.transform(F.split("stem", "[_-]"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))))
     x = x.withColumn("binding", F.concat(F.array_join(parts, ""), F.lit("Binding")))
     bound = words_of(code(lines)).where(F.col("word").endswith("Binding")).withColumnRenamed("word", "binding")
     named = mentioned_resources(lines).where("type = 'layout'").select(F.col("name").alias("stem"))
@@ -329,7 +335,7 @@ def dead_modules(lines: DataFrame) -> DataFrame:
     b = lines.where("ext = 'gradle'")
     included = all_of(b, r"""\binclude\s*\(?\s*["'](:?[\w:-]+)["']""", "m").select(F.regexp_replace("m", "^:?", ":").alias("m")).distinct()
     quoted = all_of(b.where(~F.col("text").rlike(r"\binclude\b")), r"""["'](:[\w:-]+)["']""", "m", keep=("module",))
-    humps = lambda p: F.array_join(F.transform(F.split(p, "[-_]"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000)))), "")
+    humps = lambda p: F.array_join(F.transform(F.split(p, "[-_]"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))), "")
     camel = F.transform(F.split(F.expr("substring(m, 2)"), ":"), humps)
     named = included.withColumn("accessor", F.concat(F.lit("projects."), F.array_join(camel, ".")))
     typed = all_of(b, r"\b(projects\.[\w.]+)", "accessor", keep=("module",))

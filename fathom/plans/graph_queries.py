@@ -149,6 +149,17 @@ def why_alive(spark, sf_dir):
     return G.why_alive(c.decls.where("kind <> 'Parameter'"), c.roots, c.edges)
 
 
+@query("alive_paths", f"""{W}, hops AS (SELECT decl_id AS node, 0 AS hop FROM roots UNION SELECT dst, hop + 1 FROM edges JOIN hops ON src = node WHERE hop < 30),
+best AS (SELECT node, min(hop) AS hop FROM hops GROUP BY node), back AS (SELECT b.node AS at_, min(p.node) AS pred FROM best b JOIN edges e ON e.dst = b.node JOIN best p ON p.node = e.src AND p.hop = b.hop - 1 GROUP BY b.node),
+walk AS (SELECT b.node, b.node AS at_, b.hop, CAST(b.node AS VARCHAR) AS path FROM best b JOIN decls d ON d.decl_id = b.node AND d.kind IN ('Class', 'Object') UNION ALL SELECT w.node, back.pred, w.hop - 1, back.pred || '>' || w.path FROM walk w JOIN back ON back.at_ = w.at_ WHERE w.hop > 0)
+SELECT node, path FROM walk WHERE hop = 0""")
+def alive_paths(spark, sf_dir):
+    """A shortest path from a root to every type that has one."""
+    c = project(spark, sf_dir)
+    p = G.alive_path(c.decls.where("kind in ('Class', 'Object')"), c.roots, c.edges)
+    return p.select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query("nesting_depth", f"{W}, t AS (SELECT decl_id AS node, 0 AS depth FROM decls WHERE parent_id IS NULL UNION ALL SELECT decl_id, depth + 1 FROM decls JOIN t ON parent_id = node) SELECT depth, count(*) AS n FROM t GROUP BY depth")
 def nesting_depth(spark, sf_dir):
     return G.depth(project(spark, sf_dir).decls).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))

@@ -23,13 +23,13 @@ VOCABULARY = {
         'prefs.edit().putString("key~", v)', 'val v = prefs.getString("key~", null)', "editor.putInt(KEY_~, 1)", 'const val KEY_~ = "key~"', 'bundle.putString("key~", v)', 'editor.putLong("google_#", 1)', 'intent.putExtra("extra~", 1)',
         'val e = intent.getStringExtra("extra~")', 'if (intent.hasExtra("extra~")) f()', 'intent.putExtra("android.x#", 1)', 'imageCache.put("img~", bmp)', 'val b = imageCache["img~"]', 'val b = imageCache.get("img~")',
         'val on = config.getBoolean("flag_~")', '@SerializedName("f#") val dto~: String,', "val s = R.string.text_#", "val t = inflate(R.layout.view_~)", "val v = View~Binding.bind(x)", "bus.post(Event~(1))", "bus.post(Runnable())",
-        "@Subscribe fun on#(e: Event~) {", "bus.register(Event~::class)", "val feed~: StateFlow<Int> = s", "private val feed~: Flow<Int> = s", "feed~.collect { }", "// TODO remove after launch #", "class Thing# {",
+        "@Subscribe fun on#(e: Event~) {", "bus.register(Event~::class)", "val feed~: StateFlow<Int> = s", "private val feed~: Flow<Int> = s", "feed~.collect { }", "// TODO remove after launch #", "class Thing~ {",
         'open("pics/photo_#.png")', "val m = LocationManager()", "fun pass#(x: Int) = target#.pass(x)", "if (NEW_HOME) { Home#() } else { OldHome~() }", "val h = OldHome~()", "@Dao interface Store#", "@Insert fun put(x: Row)", "@Query fun all()",
         '@file:Suppress("unused", "DC003")', 'getIdentifier(n, "color", p)', "// fathom:ignore(kept)",
     ],
     "java": [
         "import static a.b.Name#.CALL;", "import a.b.Name#;", "private String s# = null;", "private final String f# = null;", "static int n# = null;", "return (value#);", "if (((x#))) y();", "if (list.length != 0) z();", "new Name#();",
-        'prefs.contains("key~");', 'intent.putExtra("extra~", 2);', 'cache.put("img~", b);', "bus.post(new Event~(2));", "@Subscribe public void on(Event~ e) {", "public class Tool# {", '@SerializedName("g#") private String dto~;', 'String q = "flag_~";',
+        'prefs.contains("key~");', 'intent.putExtra("extra~", 2);', 'cache.put("img~", b);', "bus.post(new Event~(2));", "@Subscribe public void on(Event~ e) {", "public class Tool~ {", '@SerializedName("g#") private String dto~;', 'String q = "flag_~";',
         "Class.forName(n);", "import okhttp#.Client;", "while(false) {}",
     ],
     "xml": [
@@ -186,3 +186,13 @@ def near_twin_callables(spark, sf_dir):
     """Documents of one source as callables of one name: those whose abstracted lines are at least 80 % alike."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     return T.near_twin_callables(d.select(F.col("doc_id").alias("decl_id"), F.col("source").alias("name"), F.col("doc_id").cast("string").alias("file"), "text"))
+
+
+@query("v13_changed_alone", f"""{LINES}, w AS (SELECT DISTINCT file, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM code), n AS (SELECT word, count(*) AS files FROM w GROUP BY word),
+d AS (SELECT file, line, regexp_extract(text, 'class (\\w+)', 1) AS name FROM code WHERE text LIKE '%class %' AND regexp_extract(file, 'F(\\d+)', 1)::BIGINT % 5 = 0)
+SELECT file, line, name FROM d JOIN n ON n.word = d.name WHERE name <> '' AND files = 1""")
+def changed_alone(spark, sf_dir):
+    """Classes of changed files (those of every fifth order) whose name no other file has."""
+    x = lines(spark, sf_dir)
+    d = T.all_of(T.code(x).where("cast(regexp_extract(file, 'F([0-9]+)', 1) as bigint) % 5 = 0"), r"class (\w+)", "name", keep=("file", "line"))
+    return T.only_here(d, x).select("file", "line", "name")

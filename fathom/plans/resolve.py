@@ -88,7 +88,7 @@ def resolve(decls: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
     above = stash(_homes(r, decls))
     inside = r.select("ref_id", "name", "src").join(params, "name").join(above, ["src", "home"], "left_semi").select("ref_id", "dst", F.lit(SIMPLE).alias("tier"))
     prop = F.regexp_extract("name", r"^(?:get|set|is)([A-Z]\w*)$", 1)
-    prop = F.when(prop.rlike("^[A-Z][A-Z0-9_]*$") & (F.length(prop) > 1), prop).otherwise(F.concat(F.lower(F.substring(prop, 1, 1)), F.substring(prop, 2, 1_000)))
+    prop = F.when(prop.rlike("^[A-Z][A-Z0-9_]*$") & (F.length(prop) > 1), prop).otherwise(F.concat(F.lower(F.substring(prop, 1, 1)), prop.substr(F.lit(2), F.length(prop))))
     asked = r.where("kind = 'Call'").select("ref_id", prop.alias("name")).where("name <> ''")
     bridge = asked.join(decls.where("language = 'Kotlin' and kind in ('Property', 'Field')").select("name", F.col("decl_id").alias("dst")), "name").select("ref_id", "dst", F.lit(SIMPLE).alias("tier"))
     every = early.unionByName(opened).unionByName(simple).unionByName(inside).unionByName(bridge).distinct()

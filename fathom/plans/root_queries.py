@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathom.plans import roots as R
 from fathom.plans.model import SQL, project
 from fathom.plans.registry import query, table
-from fathom.sources.reports import keep_pattern
+from fathom.sources.reports import dead_keep_rules, keep_pattern
 
 W = f"WITH RECURSIVE {SQL}"
 NAMES = ["DetailScreen", "gone.Nowhere", "a.b.SyncTask"]
@@ -85,3 +85,15 @@ def roots_accessors(spark, sf_dir):
     """Fields whose accessors occur by name."""
     d = project(spark, sf_dir).decls
     return R.accessor_roots(d, d.select("name"))
+
+
+SPECS = ["m1.Parser.1", "m1.Gone.7", "m2.*", "m3.Mode", "zz.Nowhere"]
+
+
+@query("t12_dead_keep_rules", f"""{W}, s AS (SELECT unnest({SPECS!r}) AS spec UNION SELECT 'm' || n_nationkey || '.Gone.' || n_nationkey FROM nation UNION SELECT 'm' || n_nationkey || '.Mode.1' FROM nation)
+SELECT spec FROM s WHERE NOT contains(spec, '*') AND left(spec, length(spec) - length(list_last(string_split(spec, '.'))) - 1) IN (SELECT left(fqn, length(fqn) - length(list_last(string_split(fqn, '.'))) - 1) FROM decls WHERE parent_id IS NULL) AND spec NOT IN (SELECT fqn FROM decls)""")
+def dead_keeps(spark, sf_dir):
+    """Exact keep rules for what a known package doesn't have."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"))
+    specs = spark.createDataFrame([(x,) for x in SPECS], "spec string").union(n.select(F.concat(F.lit("m"), "n", F.lit(".Gone."), "n"))).union(n.select(F.concat(F.lit("m"), "n", F.lit(".Mode.1"))))
+    return dead_keep_rules(specs, project(spark, sf_dir).decls)

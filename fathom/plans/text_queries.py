@@ -76,12 +76,18 @@ def orphan_translation(spark, sf_dir):
 def near_twins(items: DataFrame, group: str, item: str, parts: Column, least: int = 3, share: float = 0.8) -> DataFrame:
     """(a, b, jaccard) of items of one group whose sets of parts are at least ``share`` alike.
 
-    Pairs come from an index: of an item's n parts in order of their hash, one
-    of the first n - ceil(share * n) + 1 is among the first so many of a partner.
+    Pairs come from an index: of an item's n parts, the rarest in its group first,
+    one of the first n - ceil(share * n) + 1 is among the first so many of a
+    partner.  So a line that all share brings none together unless they have
+    little else.
     """
-    x = items.select(group, F.col(item).alias("item"), F.array_sort(F.transform(F.array_distinct(parts), lambda v: F.xxhash64(v))).alias("h")).where(F.size("h") >= least)
-    n = F.size("h")
-    keys = x.select(group, "item", F.explode(F.slice("h", F.lit(1), n - F.ceil(n * share).cast("int") + 1)).alias("k"))
+    x = items.select(group, F.col(item).alias("item"), F.transform(F.array_distinct(parts), lambda v: F.xxhash64(v)).alias("h")).where(F.size("h") >= least)
+    each = x.select(group, "item", F.explode("h").alias("k"))
+    rare = each.groupBy(group, "k").agg(F.count(F.lit(1)).alias("df"))
+    # a part that only one item has brings nobody together, but takes its place in the order
+    ranked = each.join(rare, [group, "k"]).groupBy(group, "item").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("s"))
+    n = F.size("s")
+    keys = ranked.select(group, "item", F.explode(F.slice("s", F.lit(1), n - F.ceil(n * share).cast("int") + 1)).alias("z")).where("z.df > 1").select(group, "item", F.col("z.k").alias("k"))
     a = keys.withColumnRenamed("item", "a")
     pairs = a.join(keys.withColumnRenamed("item", "b"), [group, "k"]).where("a < b").select("a", "b").distinct()
     sets = x.select("item", "h")

@@ -24,7 +24,7 @@ def read_project(spark: SparkSession, path: str, exclude: list[str] | None = Non
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     base = path.removeprefix("file://").rstrip("/")
     f = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.decode("content", "UTF-8").alias("content"))
-    inside = F.substring("file", len(base) + 1, 1_000_000)
+    inside = F.col("file").substr(F.lit(len(base) + 1), F.length("file"))
     f = f.where(~inside.rlike(SKIPPED)).where(F.col("file").rlike(r"\.(kt|kts|java|xml|gradle|pro|json|info|txt)$"))
     for e in exclude or []:
         f = f.where(~F.col("file").rlike(e))

@@ -14,12 +14,47 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.posexplode(F.split("t", "\r?\n")).alias("n", "line"))
 
 
-def read_lcov(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, covered) of DA records under their SF."""
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tag, rest) of LCOV records under the SF above them; only the order within one file matters."""
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = _numbered(spark, path).withColumn("file", F.last(F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 10_000)), ignorenulls=True).over(w))
-    d = x.where("startswith(line, 'DA:')").withColumn("p", F.split(F.substring("line", 4, 10_000), ","))
-    return merge_coverage(d.select("file", F.col("p")[0].cast("int").alias("line"), (F.col("p")[1].cast("bigint") > 0).alias("covered")))
+    x = _numbered(spark, path).select("path", "n", F.regexp_extract("line", "^([A-Z]+):", 1).alias("tag"), F.regexp_extract("line", "^[A-Z]+:(.*)$", 1).alias("rest"))
+    return x.withColumn("file", F.last(F.when(F.col("tag") == "SF", F.col("rest")), ignorenulls=True).over(w)).where("file is not null and tag not in ('', 'SF')").select("file", "tag", "rest")
+
+
+def read_lcov(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, covered) of DA records."""
+    p = F.split("rest", ",")
+    d = _records(spark, path).where("tag = 'DA'")
+    return merge_coverage(d.select("file", p[0].cast("int").alias("line"), (p[1].cast("bigint") > 0).alias("covered")))
+
+
+def read_lcov_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, fqn, covered) of FNDA records."""
+    d = _records(spark, path).where("tag = 'FNDA'")
+    x = d.select(F.lit("method").alias("kind"), F.regexp_extract("rest", "^[0-9]+,(.*)$", 1).alias("fqn"), (F.regexp_extract("rest", "^([0-9]+)", 1).cast("bigint") > 0).alias("covered"))
+    return x.groupBy("kind", "fqn").agg(F.bool_or("covered").alias("covered"))
+
+
+def read_lcov_branches(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, hit, total) of BRDA records; a dash is no hit."""
+    p = F.split("rest", ",")
+    d = _records(spark, path).where("tag = 'BRDA'").select("file", p[0].cast("int").alias("line"), p[1].alias("block"), p[2].alias("branch"), F.coalesce(p[3].try_cast("bigint") > 0, F.lit(False)).alias("taken"))
+    one = d.groupBy("file", "line", "block", "branch").agg(F.bool_or("taken").alias("taken"))
+    return one.groupBy("file", "line").agg(F.count_if("taken").alias("hit"), F.count(F.lit(1)).alias("total"))
+
+
+def read_jacoco_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, fqn, covered) of class and method elements, by their own counters; Kover writes the same."""
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("t"))
+    c = raw.select(F.explode(F.regexp_extract_all("t", F.lit(r'(?s)(<class name="[^"]*".*?</class>)'), 1)).alias("c"))
+    c = c.select("c", F.translate(F.regexp_extract("c", 'class name="([^"]*)"', 1), "/$", "..").alias("owner"))
+    hit = lambda col, kind: F.regexp_extract(col, rf'type="{kind}"[^>]*covered="([0-9]+)"', 1).try_cast("bigint") > 0
+    own = F.regexp_replace("c", r"(?s)<method\b.*?</method>", "")
+    classes = c.select(F.lit("class").alias("kind"), F.col("owner").alias("fqn"), F.coalesce(hit(own, "CLASS"), hit(own, "METHOD")).alias("covered"))
+    m = c.select("owner", F.explode(F.regexp_extract_all("c", F.lit(r'(?s)(<method name="[^"]*".*?</method>)'), 1)).alias("m"))
+    name = F.regexp_extract("m", 'method name="([^"]*)"', 1)
+    methods = m.select(F.lit("method").alias("kind"), F.concat("owner", F.lit("."), name).alias("fqn"), hit(F.col("m"), "METHOD").alias("covered"))
+    return classes.unionByName(methods).where("covered is not null").groupBy("kind", "fqn").agg(F.bool_or("covered").alias("covered"))
 
 
 def read_jacoco(spark: SparkSession, path: str) -> DataFrame:
@@ -83,3 +118,20 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     g = spark.read.schema(GRAPH).option("multiLine", "true").json(path)
     e = g.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"))
     return g.select(F.inline("nodes")), e, g.select(F.explode("roots").alias("node"))
+
+
+def read_foreign_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, file, name) of the unused-code entries of another linter's baseline, "<ID>Rule:File$Signature</ID>"."""
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("t"))
+    x = raw.select(F.explode(F.regexp_extract_all("t", F.lit(r"<ID>(Unused\w*:[^<]+)</ID>"), 1)).alias("id"))
+    signature = F.regexp_extract("id", r"^[^$]*\$(.*)$", 1)
+    name = F.regexp_extract(F.regexp_replace(signature, r"\b(?:private|public|internal|protected|override|suspend|inline|const|lateinit)\b", ""), r"(?:\b(?:fun|val|var|class|object|interface)\s+)(?:<[^>]*>\s*)?(?:\w+\.)*(\w+)", 1)
+    return x.select(F.regexp_extract("id", r"^(\w+):", 1).alias("rule"), F.regexp_extract("id", r"^\w+:([^$]*)", 1).alias("file"), F.when(name != "", name).otherwise(F.regexp_extract(signature, r"(\w+)", 1)).alias("name"))
+
+
+def dead_keep_rules(specs: DataFrame, decls: DataFrame) -> DataFrame:
+    """(spec) of exact keep rules, without wildcards, whose package the corpus has and whose class it doesn't."""
+    s = specs.toDF("spec", *[f"x{k}" for k in range(len(specs.columns) - 1)]).select("spec").where(~F.col("spec").rlike(r"[*?]")).distinct()
+    package = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
+    known = decls.where("parent_id is null").select(package("fqn").alias("package")).distinct()
+    return s.withColumn("package", package("spec")).join(known, "package", "left_semi").join(decls.select(F.col("fqn").alias("spec")), "spec", "left_anti").select("spec")

@@ -106,6 +106,11 @@ def test_why_alive_names_a_nearer_node(spark):
     assert {tuple(r) for r in G.why_alive(ids(spark, 1, 4, 9), ids(spark, 1), e).collect()} == {(1, 0, None), (4, 2, 2)}
 
 
+def test_alive_paths_are_shortest_and_least(spark):
+    e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 9), (9, 5)])
+    assert {(r["node"], tuple(r["path"])) for r in G.alive_path(ids(spark, 1, 4, 5, 8), ids(spark, 1), e).collect()} == {(1, (1,)), (4, (1, 2, 4)), (5, (1, 9, 5))}
+
+
 def test_inheritance_depth_is_cut_on_cycles(spark):
     names = [("A", "B<T>"), ("B", "p.C()"), ("C", ""), ("X", "Y"), ("Y", "X"), ("Z", "Y"), *[(f"K{k}", f"K{k + 1}") for k in range(9)]]
     rows = [(i, None, n, "Class", s, "", "", "Kotlin") for i, (n, s) in enumerate(names)]

@@ -3,12 +3,14 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import Row
 
 from fathom.functions import sinks
 from fathom.plans.scan import Options, analyse, scan
 from fathom.sources import reports as R
 from fathom.sources.code import parse
+from fathom.sources.config import load_options, merged
 from fathom.sources.files import phantom_sets, read_project
 from fathom.streaming.watch import watch
 
@@ -169,6 +171,20 @@ def test_phantom_source_sets(spark, tmp_path):
 def test_side_inputs(spark, tmp_path):
     (tmp_path / "a.info").write_text("SF:x.kt\nDA:1,0\nDA:2,3\nend_of_record\nSF:y.kt\nDA:1,1\nSF:x.kt\nDA:1,5\n")
     assert {tuple(r) for r in R.read_lcov(spark, str(tmp_path / "a.info")).collect()} == {("x.kt", 1, True), ("x.kt", 2, True), ("y.kt", 1, True)}
+    (tmp_path / "b.info").write_text("SF:x.kt\nFN:1,p.f\nFNDA:0,p.f\nFNDA:2,p.g,h\nBRDA:4,0,0,-\nBRDA:4,0,1,3\nDA:9,1\nend_of_record\nFNDA:1,p.f\n" + "SF:" + "d/" * 9000 + "z.kt\nDA:1,1\n")
+    assert {tuple(r) for r in R.read_lcov_symbols(spark, str(tmp_path / "b.info")).collect()} == {("method", "p.f", True), ("method", "p.g,h", True)}
+    assert [tuple(r) for r in R.read_lcov_branches(spark, str(tmp_path / "b.info")).collect()] == [("x.kt", 4, 1, 2)]
+    assert {len(r["file"]) for r in R.read_lcov(spark, str(tmp_path / "b.info")).collect()} == {4, 18_004}
+    (tmp_path / "s.xml").write_text('<report><package name="p"><class name="p/A$B"><method name="f" desc="()V"><counter type="METHOD" missed="1" covered="0"/></method><method name="g"><counter type="LINE" missed="0" covered="1"/><counter type="METHOD" missed="0" covered="1"/></method><counter type="CLASS" missed="0" covered="1"/></class></package></report>')
+    assert {tuple(r) for r in R.read_jacoco_symbols(spark, str(tmp_path / "s.xml")).collect()} == {("class", "p.A.B", True), ("method", "p.A.B.f", False), ("method", "p.A.B.g", True)}
+    (tmp_path / "f.xml").write_text("<ID>UnusedPrivateMember:A.kt$A$private fun gone(x: Int)</ID><ID>LongMethod:A.kt$A$fun f()</ID><ID>UnusedImport:B.kt$import x.Y</ID>")
+    assert {tuple(r) for r in R.read_foreign_baseline(spark, str(tmp_path / "f.xml")).collect()} == {("UnusedPrivateMember", "A.kt", "gone"), ("UnusedImport", "B.kt", "import")}
+    (tmp_path / "c.toml").write_text('codes = ["DC", "AP"]\nlibrary = true\n[limits]\nmethod_lines = 9\n')
+    o = load_options(tmp_path / "c.toml")
+    assert o.codes == ("DC", "AP") and o.library and o.limits.method_lines == 9 and merged(o, {"m/": Options(exclude=("/x/",))}).exclude == ("m/.*/x/",)
+    (tmp_path / "c.json").write_text('{"librar": true}')
+    with pytest.raises(ValueError, match="library"):
+        load_options(tmp_path / "c.json")
     (tmp_path / "j.xml").write_text('<report><package name="p"><sourcefile name="A.kt"><line nr="3" mi="1" ci="0"/><line nr="4" mi="0" ci="2"/></sourcefile></package></report>')
     assert {tuple(r) for r in R.read_jacoco(spark, str(tmp_path / "j.xml")).collect()} == {("p/A.kt", 3, False), ("p/A.kt", 4, True)}
     (tmp_path / "usage.txt").write_text("a.B:\n    void f()\na.C\n")
@@ -196,6 +212,7 @@ def test_sinks(spark, tmp_path):
     assert [json.loads(x)["severity"] for x in sinks.reviewdog(f).split("\n")] == ["WARNING", "INFO", "ERROR"]
     assert sinks.compact(f).split("\n")[1] == "x.kt:3: DC003 Parameter p|q" and sinks.terminal(f).endswith("3 findings") and sinks.terminal(f.limit(0)) == "nothing found"
     assert "<td>Class A&lt;b&gt; [why]</td>" in sinks.web_page(f)
+    assert json.loads(sinks.badge(f))["message"] == "3" and "| AP001 | 1 |" in sinks.summary_text(f)
     files = spark.createDataFrame([("x.kt", "l1\nl2\nl3\nl4"), ("z.kt", "x")], "file string, content string")
     spans = spark.createDataFrame([("x.kt", 2, 2), ("x.kt", 3, 1)], "file string, line int, lines int")
     assert sinks.removal_patch(spans, files) == "--- a/x.kt\n+++ b/x.kt\n@@ -2,2 +1,0 @@\n-l2\n-l3\n"
