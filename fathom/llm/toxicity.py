@@ -33,8 +33,8 @@ KEPT = 8192
 #: A feature in fewer labelled texts than this is none of them.
 LEAST = 4
 GRADES = 3
-#: Parts of the labelled texts, by a hash of the text, for the ranks that grades come from.
-FOLDS = 4
+#: Parts of the labelled texts, by a hash of the text, for the ranks that grades come from, and steps of the models that rank.
+FOLDS, RANK_STEPS = 2, 120
 #: Labelled rows that the model is fitted on: the ones with the smallest hash of their id.
 MAX_TRAIN = 12_000
 PENALTY = 2.0
@@ -165,10 +165,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
             at = chosen[b.column(1).flatten().to_numpy(zero_copy_only=False)]
             row = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))[at >= 0]
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[at >= 0].astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[at >= 0]))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(2)], ["y", "f", "t"])
 
-    got = seen.mapInArrow(place, "y double, f array<int>, t bigint").toArrow().sort_by("t")
+    got = seen.mapInArrow(place, "y double, f array<smallint>, t bigint").toArrow().sort_by("t")
     drop(seen)
     lists = got.column("f").combine_chunks()
     y, fold = got.column("y").to_numpy().astype(np.int64), got.column("t").to_numpy() % FOLDS
@@ -187,7 +187,7 @@ def grades(row: np.ndarray, feature: np.ndarray, y: np.ndarray, fold: np.ndarray
         if own.any() and len(np.unique(y[~own])) == 2:
             number = np.cumsum(~own) - 1
             used = ~own[row]
-            w, _ = fit_ordinal(number[row[used]], feature[used], y[~own], size)
+            w, _ = fit_ordinal(number[row[used]], feature[used], y[~own], size, steps=RANK_STEPS)
             eta[own] = np.bincount(row, w[feature], len(y))[own]
     toxic = np.flatnonzero(y)
     rank = np.empty(len(toxic), np.int64)

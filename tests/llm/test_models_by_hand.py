@@ -110,11 +110,11 @@ def test_grades_rank_the_toxic_and_are_even():
     y = (rng.random(900) < 0.2).astype(int)
     x = rng.random((900, 6)) < np.where(y[:, None] == 1, 0.6, 0.1)
     row, feature = np.nonzero(x)
-    g = grades(row, feature, y, rng.integers(0, 4, 900), 6)
+    g = grades(row, feature, y, rng.integers(0, toxicity.FOLDS, 900), 6)
     assert (g[y == 0] == 0).all() and np.ptp(np.bincount(g[y == 1])[1:]) <= 1
     hits = x.sum(1)
     assert hits[g == 3].mean() > hits[g == 1].mean()
-    assert set(grades(row, feature, np.where(np.arange(900) == np.flatnonzero(y)[0], 1, 0), rng.integers(0, 4, 900), 6)) == {0, 1}
+    assert set(grades(row, feature, np.where(np.arange(900) == np.flatnonzero(y)[0], 1, 0), rng.integers(0, toxicity.FOLDS, 900), 6)) == {0, 1}
 
 
 @pytest.mark.parametrize("part", [1, 3])
