@@ -97,10 +97,13 @@ def redundant_this(lines: DataFrame) -> DataFrame:
     k = lines.where("ext = 'kt'")
     w = Window.partitionBy("file").orderBy("line")
     head = F.last(F.when(F.contains("text", F.lit("fun ")), F.struct("line", "text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    p = r"this\.(\w+)\s*=\s*(\w+)\s*$"
+    sides = F.split("text", "=")
+    left, right = F.trim(F.split_part("text", F.lit("="), F.lit(1))), F.trim(F.split_part("text", F.lit("="), F.lit(2)))
+    field = F.element_at(F.split(left, r"this\."), -1)
+    assigns = (F.size(sides) == 2) & F.contains(left, F.lit("this.")) & field.rlike(r"^\w+$") & right.rlike(r"^\w+$") & not_comment()
     local = r"\bva[lr]\s+(\w+)\b"
-    k = k.withColumn("head", head).where((F.col("text").rlike(p) & not_comment()) | (F.col("text").rlike(local) & ~F.contains("text", F.lit("fun "))))
-    a = k.where(F.col("text").rlike(p) & not_comment()).select("file", "line", "head", F.regexp_extract("text", p, 1).alias("name"), F.regexp_extract("text", p, 2).alias("other"))
+    k = k.withColumn("head", head).where(assigns | (F.col("text").rlike(local) & ~F.contains("text", F.lit("fun "))))
+    a = k.where(assigns).select("file", "line", "head", field.alias("name"), right.alias("other"))
     a = a.where("head is not null and name <> other").where(~F.expr(r"regexp_like(head.text, concat('\\b', name, '\\s*:'))"))
     v = k.where(F.col("text").rlike(local) & ~F.contains("text", F.lit("fun ")) & F.col("head").isNotNull())
     v = v.select(F.col("file").alias("v_file"), F.col("line").alias("v_line"), F.col("head.line").alias("v_head"), F.explode(F.regexp_extract_all("text", F.lit(local), 1)).alias("v_name"))
@@ -274,13 +277,19 @@ def bus_orphans(lines: DataFrame) -> DataFrame:
     return g.select(F.col("key").alias("event"), F.col("lo").alias("side"))
 
 
+STREAMS = ["Flow", "LiveData", "MutableLiveData", "MutableSharedFlow", "MutableStateFlow", "SharedFlow", "StateFlow"]
+
+
 def unobserved_streams(lines: DataFrame) -> DataFrame:
     """(name, file, line) of streams that aren't private and that nothing takes a member of."""
-    p = r"^\s*(?:(?:public|internal|override|open|final|lateinit)\s+)*val\s+(\w+)\s*:\s*(?:[\w.]*\.)?(?:(?:Mutable)?(?:LiveData|StateFlow|SharedFlow)|Flow)\s*<"
     k = lines.where("ext = 'kt'")
-    declared = k.where(F.col("text").rlike(p)).select(F.regexp_extract("text", p, 1).alias("name"), "file", "line")
+    # a declaration's head ends at its first colon, its type at the first angle
+    head = F.split(F.trim(F.split_part("text", F.lit(":"), F.lit(1))), " +")
+    kind = F.element_at(F.split(F.trim(F.split_part(F.split_part("text", F.lit(":"), F.lit(2)), F.lit("<"), F.lit(1))), r"\."), -1)
+    x = k.where(F.contains("text", F.lit(":")) & F.contains("text", F.lit("<"))).select("file", "line", head.alias("h"), kind.alias("t"))
+    x = x.where((F.size("h") >= 2) & F.col("t").isin(STREAMS)).where("element_at(h, -2) = 'val' and not arrays_overlap(h, array('private', 'protected'))")
     used = all_of(k, r"(\w+)\s*\.\s*[A-Za-z]", "name").select("name").distinct()
-    return declared.join(used, "name", "left_anti")
+    return x.select(F.element_at("h", -1).alias("name"), "file", "line").join(used, "name", "left_anti")
 
 
 GAP = 3
@@ -391,9 +400,14 @@ def unused_permissions(lines: DataFrame, dictionary: dict[str, list[str]] | None
 
 def middlemen(methods: DataFrame) -> DataFrame:
     """(parent_id, receiver, n) of classes of two or more methods that all forward to one receiver; ``methods`` is (parent_id, text)."""
-    p = r"\)\s*(?::\s*[\w<>?.\s]+?)?\s*=\s*(\w+)\s*\.\s*\w+\s*\("
     head = F.split_part("text", F.lit("{"), F.lit(1))
-    m = methods.where("parent_id is not null").select("parent_id", F.nullif(F.regexp_extract(head, p, 1), F.lit("")).alias("r"))
+    # what follows the equals sign after the parameters: a word, a dot, a word and a parenthesis
+    whole = F.trim(F.expr("substring(head, locate('=', head, locate(')', head)) + 1)"))
+    m = methods.where("parent_id is not null").select("parent_id", head.alias("head"))
+    m = m.withColumn("body", F.when(F.expr("locate(')', head) > 0 and locate('=', head, locate(')', head)) > 0"), whole))
+    call = F.split(F.split_part("body", F.lit("("), F.lit(1)), r"\.")
+    plain = F.contains("body", F.lit("(")) & (F.size(call) == 2) & F.forall(call, lambda w: F.trim(w).rlike(r"^\w+$"))
+    m = m.select("parent_id", F.when(plain, F.trim(F.element_at(call, 1))).alias("r"))
     g = m.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("n_r"), F.min("r").alias("lo"), F.max("r").alias("hi"))
     return g.where("n >= 2 and n = n_r and lo = hi").select("parent_id", F.col("lo").alias("receiver"), "n")
 
@@ -456,6 +470,7 @@ def suppression_headers(lines: DataFrame) -> DataFrame:
     k = lines.where("ext = 'kt'")
     body = k.where(F.col("text").rlike(r"^\s*(package|import)\b")).groupBy("file").agg(F.min("line").alias("body"))
     head = k.join(body, "file", "left").where("body is null or line < body")
-    p = r"@file\s*:\s*(?:\[[^\]]*?)?Suppress\s*\(([^)]*)\)"
-    s = all_of(head.where(not_comment()), p, "args")
+    bare = F.replace(F.col("text"), F.lit(" "), F.lit(""))
+    marked = head.where(not_comment()).withColumn("bare", bare).where("startswith(bare, '@file:') and contains(bare, 'Suppress(')")
+    s = marked.select("file", F.explode(F.slice(F.split("bare", r"Suppress\("), F.lit(2), F.length("bare"))).alias("rest")).select("file", F.split_part("rest", F.lit(")"), F.lit(1)).alias("args"))
     return s.select("file", F.explode(F.regexp_extract_all("args", F.lit(r"\w+"), 0)).alias("n")).groupBy("file").agg(F.collect_set("n").alias("names"))
