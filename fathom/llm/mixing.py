@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.scratch import drop, stash
-from fathom.llm.words import Words, slices
+from fathom.llm.words import Words, parts_of, slices
 
 NAME = "op10_mixing"
 #: Buckets of the key for each doubling of it; cells of one bucket.
@@ -84,13 +84,19 @@ def _measured(raw: DataFrame, text: str, scorer: Scorer, drop_text: bool) -> Dat
     stay = [k for k in range(len(raw.columns)) if not (drop_text and k == at)]
     schema = T.StructType([*[raw.schema[k] for k in stay], T.StructField("n", T.LongType()), T.StructField("w", T.DoubleType())])
 
+    return raw.mapInArrow(_measure(at, stay, schema.names, scorer, drop_text), schema)
+
+
+def _measure(at: int, stay: list[int], names: list[str], scorer: Scorer, counted: bool):
+    """Rows with a text in column ``at`` to their columns ``stay``, words if ``counted``, else 0, and weight."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = word_counts(b.column(at)) if drop_text else np.zeros(b.num_rows, np.int64)
+        for b in (part for whole in batches for part in parts_of(whole, at)):
+            n = word_counts(b.column(at)) if counted else np.zeros(b.num_rows, np.int64)
             arrays = [*[b.column(k) for k in stay], pa.array(n), pa.array(np.asarray(scorer(b.column(at)), np.float64))]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return raw.mapInArrow(run, schema)
+    return run
 
 
 def _key(id_col: Column, w: Column, seed: int) -> Column:

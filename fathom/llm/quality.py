@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.scratch import drop, stash
-from fathom.llm.words import PUNCT, SPACE, Words, slices
+from fathom.llm.words import PUNCT, SPACE, Words, parts_of, slices
 
 NAME = "op9_quality_classifier"
 FEATURES = 256
@@ -33,6 +33,8 @@ FOLDS = 5
 GRID = 2048
 #: Labelled rows that the classifier is fitted on: the ones with the smallest hash of their id.
 MAX_TRAIN = 20_000
+#: Bytes of text and rows of statistics that are worked on at once.
+STEP, ROWS = 1 << 18, 1024
 #: Documents below this probability of being good are rejected.
 THRESHOLD = 0.5
 
@@ -53,8 +55,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
     out = np.zeros((n, STATS))
     full = np.maximum(sizes, 1)
-    row = np.repeat(np.arange(n), sizes)
-    counts = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)
+    at = data if n == 1 else np.repeat(np.arange(n) * 256, sizes) + data
+    counts = np.bincount(at, minlength=n * 256).reshape(n, 256)
     out[:, :8] = counts @ _CLASSES / full[:, None]
     many = np.maximum(words.count, 1)
     length = (words.end - words.start).astype(np.float64)
@@ -92,14 +94,15 @@ class Model:
         return np.concatenate([z, np.ones((len(z), 1))], 1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.project(stats) @ self.weights
+        parts = [self.project(stats[k : k + ROWS]) @ self.weights for k in range(0, len(stats), ROWS)]
+        return np.concatenate(parts) if parts else np.empty(0)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, self.edges, self.values)
 
 
 def batch_stats(column: pa.Array) -> np.ndarray:
-    parts = [statistics(d, o) for _, _, d, o in slices(column)]
+    parts = [statistics(d, o) for _, _, d, o in slices(column, STEP)]
     return np.concatenate(parts) if parts else np.zeros((0, STATS))
 
 
@@ -214,7 +217,7 @@ def _sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
 
 def _pass(model: Model, text_at: int, keep: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole, text_at)):
             raw = model.raw(batch_stats(b.column(text_at)))
             p = model.probability(raw)
             if keep is not None:

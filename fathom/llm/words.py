@@ -19,6 +19,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; one text longer than this is a slice of its own.
 SLICE = 1 << 20
+#: Bytes of text whose rows are sent back together, so that neither side holds a second copy of a whole batch.
+SEND = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -28,6 +30,8 @@ PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 _TABLE = np.random.Generator(np.random.PCG64(20_240_601)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a process keeps.
+KEPT = SLICE + 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,10 +44,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; kept for slices, not for a longer text."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE + 4096)
+        size = max(n, KEPT)
         have = np.empty(size, np.uint64)
         have[0] = 1
         done = 1
@@ -51,7 +55,8 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             have[done : done + step] = have[:step] * U(pow(base, done, 1 << 64))
             done += step
-        _powers[base] = have
+        if size == KEPT:
+            _powers[base] = have
     return have[:n]
 
 
@@ -94,7 +99,10 @@ class Words:
         """Hash of each word, or of its first bytes, up to the end of the character that they end in."""
         if self._prefix is None:
             self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_TABLE[self.data] * powers(BASE, len(self.data)), out=self._prefix[1:])
+            terms, power = self._prefix[1:], powers(BASE, len(self.data))
+            for z in range(0, len(terms), SLICE):
+                np.multiply(_TABLE[self.data[z : z + SLICE]], power[z : z + SLICE], out=terms[z : z + SLICE])
+            np.cumsum(terms, out=terms)
         end = self.end if first_bytes is None else np.minimum(self.end, self.start + first_bytes)
         for _ in range(0 if first_bytes is None else 3):
             inner = end < self.end
@@ -123,3 +131,9 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def parts_of(batch: pa.RecordBatch, text_at: int, limit: int = SEND) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in runs of about ``limit`` bytes of the text in that column."""
+    for i, j, _, _ in slices(batch.column(text_at), limit):
+        yield batch.slice(i, j - i)
