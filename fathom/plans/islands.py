@@ -83,7 +83,8 @@ def islands(decls: DataFrame, edges: DataFrame, roots: DataFrame, rooted_names:
         every = every.unionByName(deferred)
     if literals is not None:
         said = literals.select(F.col("decl_id").alias("src"), F.col("word").alias("name")).distinct()
-        every = every.unionByName(said.join(d.select("name", F.col("decl_id").alias("dst")), "name").select("src", "dst"))
+        words = d.select("name", F.col("decl_id").alias("dst"))
+        every = every.unionByName(G.by_name(said, words, G.name_nodes(said, words, decls.select("decl_id", "parent_id"), e, literals.select("decl_id"))))
     alive = G.reach(seeds, every).select("node")
     dead = ok.join(alive, "node", "left_anti")
     top = stash(outermost(dead_clusters(dead, decls, edges), decls))
