@@ -134,4 +134,5 @@ def dead_keep_rules(specs: DataFrame, decls: DataFrame) -> DataFrame:
     s = specs.toDF("spec", *[f"x{k}" for k in range(len(specs.columns) - 1)]).select("spec").where(~F.col("spec").rlike(r"[*?]")).distinct()
     package = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
     known = decls.where("parent_id is null").select(package("fqn").alias("package")).distinct()
-    return s.withColumn("package", package("spec")).join(known, "package", "left_semi").join(decls.select(F.col("fqn").alias("spec")), "spec", "left_anti").select("spec")
+    declared = decls.select(F.col("fqn").alias("spec")).join(s, "spec", "left_semi").distinct()
+    return s.withColumn("package", package("spec")).join(known, "package", "left_semi").join(declared, "spec", "left_anti").select("spec")
