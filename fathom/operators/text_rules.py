@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.scratch import stash
 from fathom.operators.joins import as_of
 
 WORD = "[A-Za-z_][A-Za-z0-9_]*"
@@ -102,10 +103,12 @@ def redundant_this(lines: DataFrame) -> DataFrame:
     field = F.element_at(F.split(left, r"this\."), -1)
     assigns = (F.size(sides) == 2) & F.contains(left, F.lit("this.")) & field.rlike(r"^\w+$") & right.rlike(r"^\w+$") & not_comment()
     local = r"\bva[lr]\s+(\w+)\b"
-    k = k.withColumn("head", head).where(assigns | (F.col("text").rlike(local) & ~F.contains("text", F.lit("fun "))))
+    declares = F.col("text").rlike(local) & ~F.contains("text", F.lit("fun "))
+    # other lines change no head
+    k = k.where(assigns | declares | F.contains("text", F.lit("fun "))).withColumn("head", head).where(assigns | declares)
     a = k.where(assigns).select("file", "line", "head", field.alias("name"), right.alias("other"))
     a = a.where("head is not null and name <> other").where(~F.expr(r"regexp_like(head.text, concat('\\b', name, '\\s*:'))"))
-    v = k.where(F.col("text").rlike(local) & ~F.contains("text", F.lit("fun ")) & F.col("head").isNotNull())
+    v = k.where(declares & F.col("head").isNotNull())
     v = v.select(F.col("file").alias("v_file"), F.col("line").alias("v_line"), F.col("head.line").alias("v_head"), F.explode(F.regexp_extract_all("text", F.lit(local), 1)).alias("v_name"))
     same = (F.col("file") == F.col("v_file")) & (F.col("head.line") == F.col("v_head")) & (F.col("name") == F.col("v_name")) & (F.col("v_line") < F.col("line"))
     return a.join(v, same, "left_anti").select("file", "line", "name")
@@ -333,8 +336,12 @@ def settled_flag(lines: DataFrame, flag: str, enabled: bool) -> DataFrame:
 def unused_assets(assets: DataFrame, lines: DataFrame) -> DataFrame:
     """(file) of ``assets`` (file, under a folder called assets) of which no other file's line has the name or the path, at the end of a word of a path."""
     a = assets.select("file", F.regexp_extract("file", r"(?:^|/)assets/(.+)$", 1).alias("rel")).where("rel <> ''").withColumn("name", F.element_at(F.split("rel", "/"), -1))
-    w = lines.where("ext <> 'gradle'").select("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w./-]*\w"), 0))).alias("w")).where(F.contains("w", F.lit("."))).select("file", "w").distinct()
-    tails = w.select(F.col("file").alias("by"), F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", i, F.length("w")))).alias("name"))
+    sizes = stash(a.agg(F.collect_set(F.length("name")).alias("sizes")))
+    w = lines.where((F.col("ext") != "gradle") & F.contains("text", F.lit("."))).join(F.broadcast(sizes), F.lit(True))
+    w = w.select(F.col("file").alias("by"), "sizes", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w./-]*\w"), 0))).alias("w"))
+    # an end of a word can be a name only if some name is as long
+    ends = F.transform(F.filter("sizes", lambda n: n <= F.length("w")), lambda n: F.col("w").substr(F.length("w") - n + 1, n))
+    tails = w.where(F.contains("w", F.lit("."))).select("by", F.explode(ends).alias("name"))
     hit = a.join(tails, "name").where("file <> by").select("file").distinct()
     return a.join(hit, "file", "left_anti").select("file")
 
@@ -432,12 +439,14 @@ def near_twin_callables(callables: DataFrame, least: int = 3, share: float = 0.8
     Pairs come from an index of parts in the order of how rare they are, so a line
     that all have brings none together by itself unless it is all they have.
     """
-    x = callables.select("decl_id", "name", "file", F.transform(abstract_lines(F.col("text")), lambda v: F.xxhash64(v)).alias("h")).where(F.size("h") >= least)
+    x = stash(callables.select("decl_id", "name", "file", F.transform(abstract_lines(F.col("text")), lambda v: F.xxhash64(v)).alias("h")).where(F.size("h") >= least))
     n = x.select("name", F.explode("h").alias("k")).groupBy("name", "k").agg(F.count(F.lit(1)).alias("df"))
     keyed = x.select("name", "decl_id", "file", F.explode("h").alias("k")).join(n, ["name", "k"])
     sets = keyed.groupBy("name", "decl_id", "file").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("s"))
     size = F.size("s")
-    keys = sets.select("name", "decl_id", "file", F.explode(F.slice("s", F.lit(1), size - F.ceil(size * share).cast("int") + 1)).alias("k"))
+    keys = sets.select("name", "decl_id", "file", F.explode(F.slice("s", F.lit(1), size - F.ceil(size * share).cast("int") + 1)).alias("z"))
+    # a part that only one callable has brings nobody together, but takes its place in the order
+    keys = keys.where("z.df > 1").select("name", "decl_id", "file", F.col("z.k").alias("k"))
     a, b = (keys.select("name", "k", F.col("decl_id").alias(i), F.col("file").alias(f"f{i}")) for i in ("a", "b"))
     pairs = a.join(b, ["name", "k"]).where("a < b and fa <> fb").select("a", "b").distinct()
     h = lambda i: x.select(F.col("decl_id").alias(i), F.col("h").alias(f"h{i}"))

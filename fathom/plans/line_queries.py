@@ -56,26 +56,27 @@ _COMMENT = "(ltrim(text) LIKE '//%' OR ltrim(text) LIKE '*%')"
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """(file, module, source_set, ext, line, text), once a session."""
+    """(file, module, source_set, ext, line, text): keys and line numbers, written once a session; texts are made of them where they are read."""
 
-    def build() -> DataFrame:
-        k, kind = F.col("l_orderkey"), F.col("l_orderkey") % 8
-        ext = F.when(kind.isin(4, 5), "java").when(kind == 6, "xml").when(kind == 7, "gradle").otherwise("kt")
+    def numbered() -> DataFrame:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ext.alias("ext"), F.row_number().over(w).cast("bigint").alias("line"))
-        n = F.floor(k / 8) + F.col("l_linenumber") * 5 + F.col("l_partkey")
-        said = None
-        for e, ts in VOCABULARY.items():
-            t = F.element_at(F.array(*map(F.lit, ts)), (n % len(ts) + 1).cast("int"))
-            said = F.when(F.col("ext") == e, t) if said is None else said.when(F.col("ext") == e, t)
-        test = F.col("ext").isin("kt", "java") & (k % 3 == 0)
-        folder = F.when(F.floor(k / 8) % 2 == 1, "-fr").otherwise("")
-        path = F.when(F.col("ext") == "gradle", "/build.gradle").when(F.col("ext") == "xml", F.concat(F.lit("/src/main/res/values"), folder, F.lit("/v"), k, F.lit(".xml")))
-        path = path.otherwise(F.concat(F.lit("/src/"), F.when(test, "test").otherwise("main"), F.lit("/F"), k, F.lit("."), "ext"))
-        module = F.concat(F.lit("m"), k % 5)
-        return x.select(F.concat(module, path).alias("file"), module.alias("module"), F.when(test, "test").otherwise("main").alias("source_set"), "ext", "line", F.replace(F.replace(said, F.lit("#"), (F.col("l_partkey") % ARGS).cast("string")), F.lit("~"), (k % MANY).cast("string")).alias("text"))
-
-    return memo(spark, sf_dir, "lines", build)
+        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).cast("bigint").alias("line"))
+
+    k, kind = F.col("l_orderkey"), F.col("l_orderkey") % 8
+    ext = F.when(kind.isin(4, 5), "java").when(kind == 6, "xml").when(kind == 7, "gradle").otherwise("kt")
+    n = F.floor(k / 8) + F.col("l_linenumber") * 5 + F.col("l_partkey")
+    said = None
+    for e, ts in VOCABULARY.items():
+        t = F.element_at(F.array(*map(F.lit, ts)), (n % len(ts) + 1).cast("int"))
+        said = F.when(F.col("ext") == e, t) if said is None else said.when(F.col("ext") == e, t)
+    test = F.col("ext").isin("kt", "java") & (k % 3 == 0)
+    folder = F.when(F.floor(k / 8) % 2 == 1, "-fr").otherwise("")
+    path = F.when(F.col("ext") == "gradle", "/build.gradle").when(F.col("ext") == "xml", F.concat(F.lit("/src/main/res/values"), folder, F.lit("/v"), k, F.lit(".xml")))
+    path = path.otherwise(F.concat(F.lit("/src/"), F.when(test, "test").otherwise("main"), F.lit("/F"), k, F.lit("."), "ext"))
+    module = F.concat(F.lit("m"), k % 5)
+    text = F.replace(F.replace(said, F.lit("#"), (F.col("l_partkey") % ARGS).cast("string")), F.lit("~"), (k % MANY).cast("string"))
+    x = memo(spark, sf_dir, "numbered", numbered).withColumn("ext", ext)
+    return x.select(F.concat(module, path).alias("file"), module.alias("module"), F.when(test, "test").otherwise("main").alias("source_set"), "ext", "line", text.alias("text"))
 
 
 def _plain(name: str, sql: str, rule) -> None:
