@@ -56,7 +56,7 @@ def islands(decls: DataFrame, edges: DataFrame, roots: DataFrame, rooted_names:
     not revived.  ``keeps`` are the keep rules' expressions.
     """
     ok = stash(eligible(decls))
-    d = stash(decls.join(ok, F.col("decl_id") == F.col("node"), "left_semi"))
+    d = stash(decls.select("decl_id", "parent_id", "name").join(ok, F.col("decl_id") == F.col("node"), "left_semi"))
     e = edges.where("kind <> 'Import'").select("src", "dst")
     tests = decls.where(F.col("file").rlike(TESTISH)).select("decl_id")
     barred = decls.join(ok, F.col("decl_id") == F.col("node"), "left_anti").select("decl_id", "parent_id")
